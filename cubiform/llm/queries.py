@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, repetition, secrets
+from . import decontam, minhash, mixing, pii, repetition, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,19 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select(
+        "doc_id", "n_words", F.expr("aggregate(hit_ranges, 0L, (a, r) -> a + r.end - r.first)").alias("n_hit"),
+        F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
+        (F.size("hit_ranges") > 0).alias("contaminated"),
+    )
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars", "base_failed", "kept"]
     return repetition.quality(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", *made)
@@ -43,6 +56,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_source_mix": op3_source_mix,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_near_dedup": op6_near_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op10_pii": op10_pii,
 }
