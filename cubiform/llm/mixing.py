@@ -108,9 +108,11 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     quotas = apportion(shards, ["absent", "name"], ["_shard"], "_shard_words", "_source_seats")
     quota = F.least(F.col("seats") * mix.block_tokens, mix.max_repeat * F.col("_shard_words"))
     quotas = quotas.select("absent", "name", "_shard", "_shard_words", quota.alias("_quota"))
-    placed = rows.join(facts.drop("seats"), ["absent", "name"]).withColumn("_shard", shard)
+    # By source and cell, no task gets more than a sliver of a hot source.
+    dealt_cells = cells.drop("_words").join(facts.drop("seats"), ["absent", "name"]).withColumn("_shard", shard).join(quotas, ["absent", "name", "_shard"])
+    placed = rows.join(dealt_cells.drop("_shards"), ["absent", "name", "_cell"])
     in_order = Window.partitionBy("absent", "name", "_shard").orderBy("_order", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = placed.withColumn("_end", F.sum("_size").over(in_order)).join(quotas, ["absent", "name", "_shard"])
+    placed = placed.withColumn("_end", F.sum("_size").over(in_order))
     rounds = F.expr("_quota div greatest(_shard_words, 1)")
     rest = F.col("_quota") - rounds * F.col("_shard_words")
     part = F.greatest(F.least(F.col("_end"), rest) - (F.col("_end") - F.col("_size")), F.lit(0))

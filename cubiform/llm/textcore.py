@@ -93,14 +93,25 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, from one polynomial prefix sum."""
-    up, down = powers(len(data))
+def running(data: np.ndarray) -> np.ndarray:
+    """The polynomial prefix sums from which spans() takes hashes."""
+    up, _ = powers(len(data))
     total = np.zeros(len(data) + 1, U64)
     np.cumsum(BYTE_VALUES[data] * up[: len(data)], out=total[1:])
+    return total
+
+
+def spans(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte span."""
+    _, down = powers(len(total))
     return mix((total[ends] - total[starts]) * down[starts])
 
 
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte span, from one polynomial prefix sum."""
+    return spans(running(data), starts, ends)
+
+
 def ngrams(word_hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of n consecutive words, at each first word; windows over a document's end included."""
     count = len(word_hashes) - n + 1
