@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .store import prepare
+from .store import Shared, prepare
 
 #: Maps bytes to what words consist of: A-Z lower-cased, all that is no word byte to a space.
 _FOLD = bytes(int(tc.LOWER[b]) if tc.ALNUM[b] else 0x20 for b in range(256))
@@ -252,18 +252,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_text: str = "text", item_i
     automata = (one for block in item_blocks(items, item_id, item_text, rules) for one in build(block, rules))
     first = True
     for automaton in automata:
-        out = _pass(out, spark.sparkContext.broadcast(automaton), read, kinds, doc_text, first)
+        out = _pass(out, Shared(spark, automaton), read, kinds, doc_text, first)
         first = False
     if first:
-        out = _pass(out, spark.sparkContext.broadcast(Automaton(rules.window)), read, kinds, doc_text, True)
+        out = _pass(out, Shared(spark, Automaton(rules.window)), read, kinds, doc_text, True)
     return out.select(*(f"`{c}`" for c in [*keep, *made]))
 
 
-def _pass(docs: DataFrame, shared, read: list[str], kinds: dict, text: str, first: bool) -> DataFrame:
+def _pass(docs: DataFrame, shared: Shared, read: list[str], kinds: dict, text: str, first: bool) -> DataFrame:
     schema = ", ".join([*(f"`{c}` {kinds[c].dataType.simpleString()}" for c in read), SCHEMA])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value)
+        matcher = Matcher(shared.load())
         for batch in batches:
             at = batch.schema.get_field_index
             data, offsets = tc.utf8(batch.column(at(text)))

@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, minhash, mixing, pii, repetition, secrets
+from . import decontam, minhash, mixing, pii, repetition, secrets, toxicity, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    mined = url_rules.mine(pages, table(spark, sf_dir, "labels"), F.expr("quality = 0 or toxic = 1"))
+    return url_rules.judge_urls(pages, mined, keep=["page_id"])
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
     base = F.filter("secret_spans", lambda s: ~s["linked"])
@@ -44,6 +50,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", *made)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.fit_table(documents, table(spark, sf_dir, "labels"))
+    return toxicity.grade_texts(documents, model, keep=["doc_id"])
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     base = F.filter("pii_spans", lambda s: s["kind"].isin(*pii.BASE))
@@ -54,11 +66,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_secret_scan": op2_secret_scan,
     "op3_source_mix": op3_source_mix,
     "op5_decontaminate": op5_decontaminate,
     "op6_near_dedup": op6_near_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {}

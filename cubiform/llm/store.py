@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
@@ -24,6 +25,16 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+class Shared:
+    """A broadcast value whose classes travel with it."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def load(self) -> object:
+        return pickle.loads(self._sent.value)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a private temporary one where it names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -142,10 +142,11 @@ def fit_table(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: st
                 found += [(both[a:b], shares[a:b]) for a, b in zip(ends[:-1], ends[1:])]
             at = np.concatenate(([0], np.cumsum([len(f) for f, _ in found]))).astype(np.int32)
             lists = [pa.ListArray.from_arrays(at, np.concatenate([*x, none])) for x, none in (([f for f, _ in found], np.zeros(0, np.int32)), ([v for _, v in found], np.zeros(0, np.float32)))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *lists], ["grade", "slots", "shares"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *lists], ["key", "grade", "slots", "shares"])
 
     grade = F.when(F.col("toxic") > 0, 1 + (F.col("quality") <= 0).cast("int")).otherwise(0)
-    table = rows.select("_text", grade.alias("grade")).mapInArrow(read, "grade int, slots array<int>, shares array<float>").toArrow().combine_chunks()
+    table = rows.select("_text", F.col("_id").cast("string").alias("key"), grade.alias("grade")).mapInArrow(read, "key string, grade int, slots array<int>, shares array<float>")
+    table = table.toArrow().sort_by([("key", "ascending"), ("grade", "ascending")]).combine_chunks()  # one order, so that sums agree from run to run
     row = np.repeat(np.arange(table.num_rows), np.asarray(pa.compute.list_value_length(table.column("slots"))))
     flat = lambda name: table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
     return fit(row, flat("slots").astype(np.int64), flat("shares").astype(float), table.column("grade").to_numpy(), rules)
