@@ -7,8 +7,9 @@ the share of equal coordinates concentrates around the Jaccard similarity. Texts
 agree in a band meet in a bucket; links are confirmed on whole shingle sets.
 
 Copies are folded first: texts with one shingle set are one class. In a bucket only the pairs with
-a central class are verified (a star); pairs across the components that this leaves apart follow
-in a second step, so every link counts though no group is ever expanded into all its pairs.
+a central class are verified (a star). Pairs across the components that this leaves apart follow
+in a second step, and of those only the ones that counts of rare shingles don't rule out: every
+link counts, though no group is ever expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ class NearRules:
     bands: int = 32
     rows: int = 4
     seed: int = 11
+    #: A shingle of at most so many classes counts as rare.
+    rare: int = 16
 
 
 def _seeds(count: int, seed: int) -> np.ndarray:
@@ -137,6 +140,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b")
 
 
+def _across(placed: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame:
+    """Pairs (a, b) that share a bucket, belong to different components and may still be similar.
+
+    placed: (band, node, n, label) of the buckets that hold several components. A shingle is rare
+    when few of these classes have it. Pairs with a rare shingle in common come from the shingle. All
+    other pairs share none of their rare shingles, which bounds their similarity by counts alone:
+    shared <= min(n - rare), union >= max(n + rare of the other). Only pairs that meet the bound
+    leave the join, each from the first of its buckets.
+    """
+    member = placed.groupBy("node", "n", "label").agg(F.array_sort(F.collect_list("band")).alias("within"))  # at most one for each band
+    listed = sets.join(member.select("node", "n", "label"), "node").select("node", "n", "label", F.explode("keys").alias("key"))
+    rare = listed.groupBy("key").agg(F.count(F.lit(1)).alias("owners")).filter(F.col("owners") <= rules.rare)
+    rare = cut(listed.join(rare, "key"), "rare")
+    counts = rare.groupBy("node").agg(F.count(F.lit(1)).alias("rare"))
+    shared = rare.filter("owners > 1").groupBy("key").agg(F.collect_list(F.struct("node", "n", "label")).alias("of"))
+    pair = shared.select(F.explode("of").alias("x"), "of").select("x", F.explode("of").alias("y")).filter("x.label < y.label")
+    met = pair.filter(f"100 * least(x.n, y.n) >= {rules.percent} * greatest(x.n, y.n)").select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    known = member.join(counts, "node", "left").select("node", "n", "label", "within", F.coalesce("rare", F.lit(0)).alias("rare"))
+    known = cut(known, "member")
+    left = placed.select("band", "node").join(known, "node")
+    right = left.select("band", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "label", "within", "rare")))
+    bound = f"label < label2 and 100 * least(n - rare, n2 - rare2) >= {rules.percent} * greatest(n + rare2, n2 + rare) and array_min(array_intersect(within, within2)) = band"
+    rest = left.join(right.withColumnRenamed("band", "band2"), F.expr(f"band = band2 and {bound}"))
+    return met.union(rest.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))).distinct()
+
+
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: NearRules = NearRules()) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id and kept.
 
@@ -171,11 +200,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rul
     placed = bands.filter("members > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     apart = placed.groupBy("band").agg(F.min("label").alias("one"), F.max("label").alias("other")).filter("one <> other").select("band")
     placed = cut(placed.join(apart, "band").select("band", "node", "n", "label"), "apart")
-    other = placed.select("band", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "label")))
-    across = placed.join(other, "band").filter("label < label2").select(
-        F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"), F.least("n", "n2").alias("low"), F.greatest("n", "n2").alias("high")
-    )
-    across = across.filter(similar).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    across = cut(_across(placed, sets, rules).join(tried, ["a", "b"], "left_anti"), "pairs")
     more = cut(_verified(across, sets, rules.percent), "links")
     if not more.isEmpty():
         labels = cut(components(links.union(more)), "labels")
