@@ -105,7 +105,9 @@ def _compared(pieces: DataFrame, rules: RepeatRules) -> DataFrame:
         size, last = 0, None
 
         def flush() -> pa.RecordBatch:
-            rows = [(r["row1"], r["row2"], a + r["low"], b + r["low"]) for r, marks in zip(held, suffixes.repeated_starts([r["body"] for r in held], rules.least)) for a, b in ranges(marks)]
+            parts = suffixes.trimmed([r["body"] for r in held], rules.least)
+            some = [(r, a, r["body"][a:b]) for r, (a, b) in zip(held, parts) if b]
+            rows = [(r["row1"], r["row2"], r["low"] + first + a, r["low"] + first + b) for (r, first, _), marks in zip(some, suffixes.repeated_starts([p for *_, p in some], rules.least)) for a, b in ranges(marks)] if some else []
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i < 2 else pa.int32()) for i in range(4)], ["row1", "row2", "first", "end"])
 
         for batch in batches:
@@ -181,7 +183,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     flagged = cut(runs.join(seen, "key"), "runs")
     mixed = flagged.filter("mixed")
     kinds_of = cut(mixed.groupBy("key", "context").agg(F.count(F.lit(1)).alias("copies"), F.min("row1").alias("one")), "contexts")
-    crowds = kinds_of.groupBy("key").agg(F.count(F.lit(1)).alias("contexts"))
+    crowds = cut(kinds_of.groupBy("key").agg(F.count(F.lit(1)).alias("contexts")), "crowds")
     known = cut(mixed.join(kinds_of, ["key", "context"]).join(crowds, "key").select("row1", "row2", "context", "copies", "contexts", "one"), "mixed")
     # Each different context is compared once, whoever has it.
     asked = known.filter("copies = 1 or row1 = one").groupBy("row1", "row2").agg(

@@ -36,20 +36,26 @@ def _push(order: np.ndarray, text: np.ndarray, wanted: np.ndarray, block: np.nda
     if not len(before):
         return
     symbols = text[before]
-    turn = np.argsort(symbols, kind="stable")
+    turn = np.argsort(symbols, kind="stable")  # a radix sort, as symbols are short integers
     symbols, before = symbols[turn], before[turn]
-    first = np.flatnonzero(np.concatenate(([True], symbols[1:] != symbols[:-1])))
-    counts = np.diff(np.append(first, len(symbols)))
-    place = np.arange(len(symbols)) - np.repeat(first, counts)
-    order[edge[symbols] + step * place] = before
-    edge[symbols[first]] += step * counts
+    first = np.flatnonzero(symbols[1:] != symbols[:-1]) + 1
+    at = 0
+    for end in (*first.tolist(), len(symbols)):
+        c, n = symbols[at], end - at
+        low = edge[c]
+        if step > 0:
+            order[low : low + n] = before[at:end]
+        else:
+            order[low - n + 1 : low + 1] = before[at:end][::-1]
+        edge[c] = low + step * n
+        at = end
 
 
 def induce(text: np.ndarray, smaller: np.ndarray, sizes: np.ndarray, leftmost: np.ndarray) -> np.ndarray:
     """All suffixes in order, given the leftmost-smaller ones in (at least tentative) order."""
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    order = np.full(len(text), -1, np.int64)
+    order = np.full(len(text), -1, np.int32)
     symbols = text[leftmost]
     by_symbol = np.argsort(symbols, kind="stable")
     seeds = leftmost[by_symbol]
@@ -81,7 +87,7 @@ def doubled(ranks: np.ndarray) -> np.ndarray:
         ahead = np.zeros(n, np.int64)
         ahead[: n - reach] = ranks[reach:] + 1
         pair = ranks * np.int64(n + 2) + ahead
-        order = np.argsort(pair, kind="stable")
+        order = np.argsort(pair)
         ordered = pair[order]
         ranks = np.empty(n, np.int64)
         ranks[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
@@ -95,9 +101,10 @@ def suffix_array(text: np.ndarray, alphabet: int) -> np.ndarray:
     n = len(text)
     if n < 3:
         return np.argsort(text, kind="stable")
+    text = text.astype(np.uint16 if alphabet <= 1 << 16 else np.int32, copy=False)
     smaller = classify(text)
     sizes = np.bincount(text, minlength=alphabet)
-    left = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    left = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32)
     order = induce(text, smaller, sizes, left)
     is_left = np.zeros(n, bool)
     is_left[left] = True
@@ -142,12 +149,30 @@ def common(total: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.nda
     return length
 
 
+def trimmed(pieces: list[bytes], least: int) -> list[tuple[int, int]]:
+    """The part of each piece, (0, 0) for none, that can hold strings that begin elsewhere too.
+
+    Strings whose hash no other place has are left out at both ends, so suffixes are sorted for
+    little else than what repeats.
+    """
+    sizes = np.array([len(p) for p in pieces])
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    total = tc.running(np.frombuffer(b"".join(pieces), np.uint8))
+    starts = np.concatenate([np.arange(i, i + max(0, n - least + 1)) for i, n in zip(at, sizes)]) if len(pieces) else at[:0]
+    keys = tc.spans(total, starts, starts + least)
+    ordered = np.sort(keys)
+    twice = np.isin(keys, ordered[1:][ordered[1:] == ordered[:-1]])
+    starts = starts[twice]
+    bounds = np.searchsorted(starts, at)
+    return [(int(starts[a] - i), int(starts[b - 1] - i) + least) if b > a else (0, 0) for i, a, b in zip(at, bounds[:-1], bounds[1:])]
+
+
 def repeated_starts(pieces: list[bytes], least: int) -> list[np.ndarray]:
     """For each piece, which of its places begin a string of least bytes that begins elsewhere too."""
     sizes = np.array([len(p) for p in pieces])
     at = np.concatenate(([0], np.cumsum(sizes + 1)))
     # Symbols: 0 the sentinel, 1 the end of a piece, then bytes.
-    text = np.zeros(at[-1] + 1, np.int64)
+    text = np.zeros(at[-1] + 1, np.uint16)
     for p, i in zip(pieces, at):
         text[i : i + len(p)] = np.frombuffer(p, np.uint8)
     text[:-1] += 2
