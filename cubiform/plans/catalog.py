@@ -133,7 +133,7 @@ def shaped(spark: SparkSession, sf_dir: str, op: str) -> DataFrame:
     """The adapter's commands with what an op needs besides."""
     found = A.commands(spark, sf_dir)
     if op == "extrude":
-        return found.withColumn("mask", F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.expr("1L") * 0 + F.call_function("getbit", F.col("bits"), i))).withColumn("u", F.lit(3).cast("long"))
+        return found.withColumn("mask", F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.call_function("getbit", F.col("bits"), i).cast("long"))).withColumn("u", F.lit(3).cast("long"))
     if op == "tree":
         return found.withColumn("ox", F.col("ox") + 6).withColumn("oz", F.col("oz") + 6)
     return found
@@ -141,7 +141,6 @@ def shaped(spark: SparkSession, sf_dir: str, op: str) -> DataFrame:
 
 # ---- scalar functions ----------------------------------------------------------------------
 
-_FORMATS = ["NC4Pxx", "NCM4P:abc", " NCM3:abc\n", "NCBK\x01", "NCF1.xyz", "NCPV", "plain"]
 _TEXTS = "SELECT doc_id, CASE " + " ".join(f"WHEN doc_id % 9 = {i} THEN '{t}' || left(text, 8)" for i, t in enumerate(("NC4P", "NCM4P:", " NCM3:", "NCBK", "NCF1.", "NCPV"))) + " ELSE text END AS text FROM documents"
 
 
@@ -176,7 +175,7 @@ def _values_sql(columns: str, made: str) -> str:
 
 
 QUERY_VALUES = {
-    "varint_len": ([S.varint_length("v").alias("bytes")] if False else (lambda: [S.varint_length("v").alias("bytes")]), _values_sql("bytes", f"{vl('v')} AS bytes")),
+    "varint_len": (lambda: [S.varint_length("v").alias("bytes")], _values_sql("bytes", f"{vl('v')} AS bytes")),
     "varint_hex": (lambda: [S.varint_hex("v").alias("hex")], _values_sql("hex:s", f"{vh('v')} AS hex")),
     "zigzag": (lambda: [S.zigzag(F.col("v") - 150000000).alias("z"), S.unzigzag(S.zigzag(F.col("v") - 150000000)).alias("back")], _values_sql("z back", "CASE WHEN v >= 150000000 THEN 2 * (v - 150000000) ELSE 2 * (150000000 - v) - 1 END AS z, v - 150000000 AS back")),
     "signed_var": (lambda: [S.odd_signed("v").alias("signed")], _values_sql("signed", "CASE WHEN v % 2 = 1 THEN -((v + 1) // 2) ELSE v // 2 END AS signed")),
@@ -534,10 +533,8 @@ def indexed(found: DataFrame) -> DataFrame:
     """Patches with their place in the palette of both scenes, still dealt by scene."""
     whole = Window.partitionBy("scene")
     both = F.array_sort(F.array_union(F.collect_set("want").over(whole), F.collect_set("have").over(whole)))
-    named = D.patches(found.withColumn("palette", both).withColumn("_", F.lit(0)))
     listed = found.withColumn("palette", both)
     kind = F.when(F.col("have").isNull(), D.SET).when(F.col("want").isNull(), D.CLEAR).otherwise(D.PAINT)
-    del named
     rows = listed.filter(~F.col("want").eqNullSafe(F.col("have"))).select("scene", "id", kind.alias("kind"), F.coalesce("want", F.lit(0)).alias("material"), "palette")
     return rows.withColumn("index", F.greatest(F.array_position("palette", F.col("material")) - 1, F.lit(0))).drop("palette")
 
