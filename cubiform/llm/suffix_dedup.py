@@ -10,6 +10,7 @@ many different contexts is split by the strings themselves instead.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -107,7 +108,12 @@ def _compared(pieces: DataFrame, rules: RepeatRules) -> DataFrame:
         def flush() -> pa.RecordBatch:
             parts = suffixes.trimmed([r["body"] for r in held], rules.least)
             some = [(r, a, r["body"][a:b]) for r, (a, b) in zip(held, parts) if b]
-            rows = [(r["row1"], r["row2"], r["low"] + first + a, r["low"] + first + b) for (r, first, _), marks in zip(some, suffixes.repeated_starts([p for *_, p in some], rules.least)) for a, b in ranges(marks)] if some else []
+            # Equal pieces share their result; two of them are enough for the array.
+            copies = Counter(p for *_, p in some)
+            pieces = [p for p, n in copies.items() for _ in range(min(n, 2))]
+            marks = dict(zip(pieces, suffixes.repeated_starts(pieces, rules.least))) if pieces else {}
+            spans = {p: ranges(m) for p, m in marks.items()}
+            rows = [(r["row1"], r["row2"], r["low"] + first + a, r["low"] + first + b) for r, first, p in some for a, b in spans[p]]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i < 2 else pa.int32()) for i in range(4)], ["row1", "row2", "first", "end"])
 
         for batch in batches:
