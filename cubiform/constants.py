@@ -17,8 +17,8 @@ FORGE_GRID = (14, 10, 14)
 #: Default and absolute ceilings.
 LIMITS = {
     "max_input_bytes": (1 << 20, 4 << 20), "max_commands": (4096, 16384), "max_materials": (4096, 8192), "max_patches": (131072, 262144),
-    "max_voxels": (131072, 262144), "max_op_expansion": (262144, 1048576), "max_writes": (2_000_000, 8_000_000),
-    "max_memory_bytes": (64 << 20, 256 << 20), "max_decode_units": (131072, 262144),
+    "max_voxels": (131072, 262144), "max_writes": (262144, 1048576), "max_decode_units": (2_000_000, 8_000_000), "max_memory_bytes": (64 << 20, 256 << 20),
+    "max_op_expansion": (131072, 262144),
 }
 
 #: Compact opcodes and residual tags.
