@@ -17,7 +17,7 @@ cloudpickle.register_pickle_by_value(cubiform)
 
 ASSET_SCHEMA = "asset string, format string, profile string, bytes long, facts long, root string, error_kind string, error_code string"
 COMMAND_SCHEMA = (
-    "scene string, seq long, op string, material long, material2 long, ox long, oy long, oz long, sx long, sy long, sz long, axis long, length long, u long, thickness long, depth long, width long, "
+    "scene string, seq long, op string, material long, material2 long, ox long, oy long, oz long, sx long, sy long, sz long, axis long, length long, u long, v long, thickness long, depth long, width long, "
     "count long, dx long, dy long, dz long, height long, crown long, spacing long, mask array<long>, dim_x long, dim_y long, dim_z long"
 )
 
@@ -61,7 +61,7 @@ def _flat(scene: str, seq: int, op: dict, size) -> dict:
     row = {"scene": scene, "seq": seq, "op": name, "material2": op.get("leaf"), "dim_x": size[0], "dim_y": size[1], "dim_z": size[2]}
     for key, columns in (("origin", ("ox", "oy", "oz")), ("size", ("sx", "sy", "sz")), ("delta", ("dx", "dy", "dz"))):
         row |= dict(zip(columns, op.get(key, ())))
-    return row | {k: op.get(k) for k in ("material", "axis", "length", "u", "thickness", "depth", "width", "count", "height", "crown", "spacing", "mask")}
+    return row | {k: op.get(k) for k in ("material", "axis", "length", "u", "v", "thickness", "depth", "width", "count", "height", "crown", "spacing", "mask")}
 
 
 def commands(assets: DataFrame) -> DataFrame:
