@@ -14,7 +14,7 @@ from cubiform.llm import decontam, minhash, mixing, pii, repetition, store
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality rules reject."""
-    return repetition.quality(docs).filter("kept").select(*docs.columns)
+    return repetition.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,10 +16,11 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from . import textcore as tc
 from .anchors import window_least
-from .store import cut, prepare
+from .store import arrow_map, cut, prepare, ref
 
 U64 = np.uint64
 
@@ -98,8 +99,8 @@ def _digested(docs: DataFrame, kind: str, rules: ChunkRules) -> DataFrame:
 FACTS = "n_bytes long, n_chunks long, n_shared long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
 
-def _applied(docs: DataFrame, keep: list[str], kinds: dict, rules: ChunkRules, texts: bool) -> DataFrame:
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), FACTS])
+def _applied(docs: DataFrame, keep: list[str], rules: ChunkRules, texts: bool) -> DataFrame:
+    schema = StructType([StructField(c, docs.schema[f"_keep_{c}"].dataType) for c in keep] + StructType.fromDDL(FACTS).fields)
     made = [x.split()[0] for x in FACTS.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +141,7 @@ def _applied(docs: DataFrame, keep: list[str], kinds: dict, rules: ChunkRules, t
             columns = [pa.array([r[k] for r in rows], pa.int64() if k < 5 else pa.string()) for k in range(7)]
             yield pa.RecordBatch.from_arrays([*(_found(batch, f"_keep_{c}") for c in keep), *columns], [*keep, *made])
 
-    return docs.mapInArrow(read, schema)
+    return arrow_map(docs, read, schema)
 
 
 def dedup_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, rules: ChunkRules = ChunkRules(), texts: bool = False) -> DataFrame:
@@ -158,7 +159,7 @@ def dedup_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made and (keep is not None or c != text)]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(*(F.col(c).alias(f"_keep_{c}") for c in keep), F.col(doc_id).alias("id"), F.xxhash64(body).alias("row"), body.alias("text"))
+    rows = docs.select(*(ref(c).alias(f"_keep_{c}") for c in keep), F.col(doc_id).alias("id"), F.xxhash64(body).alias("row"), body.alias("text"))
     parts = _digested(rows, kinds[doc_id], rules)
     # An owner is the least id with the chunk; min() passes over nulls.
     owners = parts.groupBy("digest").agg(F.min("id").alias("owner"), F.sum("times").alias("n")).filter("n > 1")
@@ -168,4 +169,4 @@ def dedup_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     )
     none = F.array().cast("array<long>")
     joined = rows.join(cut(marks, "marks"), F.expr("row = mark_row and id <=> mark_id"), "left")
-    return _applied(joined.withColumn("owned", F.coalesce("owned", none)).withColumn("shared", F.coalesce("shared", none)), keep, kinds, rules, texts)
+    return _applied(joined.withColumn("owned", F.coalesce("owned", none)).withColumn("shared", F.coalesce("shared", none)), keep, rules, texts)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .store import Shared, prepare
+from .store import Shared, arrow_map, output_schema, prepare, shielded, unshielded
 
 #: Maps bytes to what words consist of: A-Z lower-cased, all that is no word byte to a space.
 _FOLD = bytes(int(tc.LOWER[b]) if tc.ALNUM[b] else 0x20 for b in range(256))
@@ -247,20 +247,19 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_text: str = "text", item_i
     made = ["n_words", "hit_ranges", "hit_items"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     read = list(dict.fromkeys([*keep, doc_text]))
-    kinds = {f.name: f for f in docs.schema.fields}
     out = docs.select(*(f"`{c}`" for c in read))
     automata = (one for block in item_blocks(items, item_id, item_text, rules) for one in build(block, rules))
     first = True
     for automaton in automata:
-        out = _pass(out, Shared(spark, automaton), read, kinds, doc_text, first)
+        out = _pass(out, Shared(spark, automaton), read, doc_text, first)
         first = False
     if first:
-        out = _pass(out, Shared(spark, Automaton(rules.window)), read, kinds, doc_text, True)
+        out = _pass(out, Shared(spark, Automaton(rules.window)), read, doc_text, True)
     return out.select(*(f"`{c}`" for c in [*keep, *made]))
 
 
-def _pass(docs: DataFrame, shared: Shared, read: list[str], kinds: dict, text: str, first: bool) -> DataFrame:
-    schema = ", ".join([*(f"`{c}` {kinds[c].dataType.simpleString()}" for c in read), SCHEMA])
+def _pass(docs: DataFrame, shared: Shared, read: list[str], text: str, first: bool) -> DataFrame:
+    schema = output_schema(docs, read, SCHEMA)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.load())
@@ -282,7 +281,7 @@ def _pass(docs: DataFrame, shared: Shared, read: list[str], kinds: dict, text: s
             columns = [batch.column(at(c)) for c in read]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(ranges, kind), pa.array(items, pa.list_(pa.string()))], [*read, "n_words", "hit_ranges", "hit_items"])
 
-    return docs.mapInArrow(judge, schema)
+    return arrow_map(docs, judge, schema)
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -306,10 +305,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_text: str = "text", ite
     The columns of docs, in order. A cut takes the span's words with all between them; texts without
     a hit stay as they are, null ones too.
     """
-    found = find_leaks(docs, items, doc_text, item_id, item_text, rules)
+    own, back = shielded(docs, ["n_words", "hit_ranges", "hit_items"])
+    found = find_leaks(own, items, doc_text, item_id, item_text, rules)
     found = found.filter(F.expr(f"100 * aggregate(hit_ranges, 0L, (a, r) -> a + r.end - r.first) <= {rules.max_hit_percent} * n_words"))
-    names = docs.columns
-    schema = found.schema
+    names = own.columns
 
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,4 +328,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_text: str = "text", ite
             columns = [pa.array(texts, batch.column(at(c)).type) if c == doc_text else batch.column(at(c)) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return found.mapInArrow(trim, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields if f.name in names))
+    return unshielded(arrow_map(found, trim, own.schema), docs.columns, back)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import textcore as tc
 from .components import components
-from .store import cut, prepare
+from .store import cut, prepare, ref
 
 U64 = np.uint64
 
@@ -217,4 +217,4 @@ def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules
     Rows that share an id are one document: they stay or go together. Rows with a null id stay.
     """
     gone = near_groups(docs, doc_id, text, rules).filter("not kept and doc_id is not null").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti").select(*docs.columns)
+    return docs.join(gone, doc_id, "left_anti").select(*map(ref, docs.columns))

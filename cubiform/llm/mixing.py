@@ -93,7 +93,7 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
     digest = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")))))
     rows = docs.select(
-        F.col(doc_id).alias("_id"), *(F.col(c).alias(f"_keep_{c}") for c in keep),
+        F.col(doc_id).alias("_id"), *(F.col(f"`{c}`").alias(f"_keep_{c}") for c in keep),
         F.col(source).isNull().alias("absent"), F.coalesce(F.col(source), F.lit("")).alias("name"), size.alias("_size"), digest.alias("_order"),
     ).withColumn("_cell", F.conv(F.substring("_order", 1, 3), 16, 10).cast("int"))
     cells = rows.groupBy("absent", "name", "_cell").agg(F.sum("_size").alias("_words"))
@@ -117,6 +117,6 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     rest = F.col("_quota") - rounds * F.col("_shard_words")
     part = F.greatest(F.least(F.col("_end"), rest) - (F.col("_end") - F.col("_size")), F.lit(0))
     return placed.select(
-        F.col("_id").alias(doc_id), *(F.col(f"_keep_{c}").alias(c) for c in keep),
+        F.col("_id").alias(doc_id), *(F.col(f"`_keep_{c}`").alias(c) for c in keep),
         F.col("_size").alias("size"), "source_size", "target", (rounds * F.col("_size") + part).alias("taken"),
     )

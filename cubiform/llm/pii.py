@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import ref, unused
+
 #: The pattern of each kind, in the order in which kinds are listed. Those of the first four find
 #: what the plain forms in PLAIN find, but in linear time: a match may only begin where a run of
 #: its first class begins, or where the last match ended.
@@ -68,7 +70,7 @@ def confirmed(kind: str, found: Column) -> Column:
     """Whether a match of the kind's pattern is one."""
     digits = F.regexp_replace(found, "[^0-9]", "")
     if kind == "ip":
-        bare = lambda p: F.ltrim(F.lit("0"), p)
+        bare = lambda p: F.ltrim(p, F.lit("0"))
         return F.forall(F.split(found, r"\."), lambda p: (F.length(bare(p)) < 3) | ((F.length(bare(p)) == 3) & (bare(p) <= "255")))
     if kind == "card":
         return F.length(digits).between(16, 19) & luhn(digits)
@@ -84,8 +86,9 @@ def _filtered(kind: str, spans: Column) -> Column:
     return F.filter(spans, lambda s: confirmed(kind, s["found"]))
 
 
-def proposals(docs: DataFrame, text: str) -> DataFrame:
-    """Adds for each kind _<kind>: an array of (start, stop, found) of all matches, in order."""
+def proposals(docs: DataFrame, text: str, prefix: str) -> DataFrame:
+    """Adds for each kind prefix + kind: an array of (start, stop, found) of all matches, in order."""
+    found, pieces = F.col(f"{prefix}found"), F.col(f"{prefix}pieces")
     for kind, pattern in PATTERNS.items():
         body = F.col(text)
         if kind in NEEDS:
@@ -94,18 +97,18 @@ def proposals(docs: DataFrame, text: str) -> DataFrame:
             body = F.when(body.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), body).otherwise("")
         elif kind == "iban":
             body = F.when(body.rlike(r"[A-Z]{2}[0-9]{2}[\x20A-Z0-9]{11}"), body).otherwise("")
-        docs = docs.withColumn("_found", F.regexp_extract_all(body, F.lit(pattern), F.lit(0)))
-        docs = docs.withColumn("_pieces", F.when(F.size("_found") > 0, F.split(body, pattern, -1)).otherwise(F.array().cast("array<string>")))
+        docs = docs.withColumn(f"{prefix}found", F.regexp_extract_all(body, F.lit(pattern), F.lit(0)))
+        docs = docs.withColumn(f"{prefix}pieces", F.when(F.size(found) > 0, F.split(body, pattern, -1)).otherwise(F.array().cast("array<string>")))
         state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,found:string>>").alias("spans"))
-        pairs = F.arrays_zip(F.col("_found").alias("f"), F.slice("_pieces", F.lit(1), F.size("_found")).alias("p"))
+        pairs = F.arrays_zip(found.alias("f"), F.slice(pieces, F.lit(1), F.size(found)).alias("p"))
 
         def step(a: Column, x: Column) -> Column:
             start = a["at"] + F.length(x["p"])
             stop = start + F.length(x["f"])
             return F.struct(stop.alias("at"), F.concat(a["spans"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["f"].alias("found")))).alias("spans"))
 
-        spans = F.when(F.size("_found") > 0, F.aggregate(pairs, state, step)["spans"]).otherwise(state["spans"])
-        docs = docs.withColumn(f"_{kind}", _filtered(kind, spans)).drop("_found", "_pieces")
+        spans = F.when(F.size(found) > 0, F.aggregate(pairs, state, step)["spans"]).otherwise(state["spans"])
+        docs = docs.withColumn(f"{prefix}{kind}", _filtered(kind, spans)).drop(f"{prefix}found", f"{prefix}pieces")
     return docs
 
 
@@ -127,13 +130,13 @@ def find_pii(docs: DataFrame, text: str = "text", rules: PiiRules = PiiRules(),
     """Adds spans: an array of (kind, start, stop, score), by kind as listed, then start.
 
     Places count code points, stop is exclusive. A null or empty text has an empty array; repeated
-    rows are treated one by one; an input column named like the output, or with a leading
-    underscore and a kind's name, is replaced or dropped.
+    rows are treated one by one; an input column named like the output gives way to it.
     """
-    body = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    body = proposals(body, "_text")
-    found = F.concat(*(scored(k, F.col(f"_{k}"), F.col("_text"), rules) for k in PATTERNS))
-    return body.withColumn(spans, found).drop("_text", *(f"_{k}" for k in PATTERNS))
+    prefix = unused(docs, "_pii_")
+    body = docs.withColumn(f"{prefix}text", F.coalesce(ref(text), F.lit("")))
+    body = proposals(body, f"{prefix}text", prefix)
+    found = F.concat(*(scored(k, F.col(f"{prefix}{k}"), F.col(f"{prefix}text"), rules) for k in PATTERNS))
+    return body.withColumn(spans, found).drop(f"{prefix}text", *(f"{prefix}{k}" for k in PATTERNS))
 
 
 def listed(spans: Column) -> Column:
@@ -146,14 +149,15 @@ def redact(docs: DataFrame, text: str = "text", rules: PiiRules = PiiRules()) ->
 
     A null text stays null; all other columns stay.
     """
-    found = find_pii(docs, text, rules, "_spans")
-    ordered = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
+    spans = f"{unused(docs, '_pii_')}spans"
+    found = find_pii(docs, text, rules, spans)
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(a: Column, s: Column) -> Column:
-        more = F.concat(a["parts"], F.array(F.substr(F.col(text), a["at"] + 1, s["start"] - a["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
+        more = F.concat(a["parts"], F.array(F.substr(ref(text), a["at"] + 1, s["start"] - a["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
         return F.when(s["start"] >= a["at"], F.struct(s["stop"].alias("at"), more.alias("parts"))).otherwise(F.struct(a["at"].alias("at"), a["parts"].alias("parts")))
 
     cuts = F.aggregate(ordered, state, step)
-    clean = F.concat(F.array_join(cuts["parts"], ""), F.substr(F.col(text), cuts["at"] + 1, F.lit(2**31 - 1) - cuts["at"]))
-    return found.withColumn(text, F.when(F.size("_spans") > 0, clean).otherwise(F.col(text))).select(*docs.columns)
+    clean = F.concat(F.array_join(cuts["parts"], ""), F.substr(ref(text), cuts["at"] + 1, F.lit(2**31 - 1) - cuts["at"]))
+    return found.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(ref(text))).select(*(ref(c) for c in docs.columns))

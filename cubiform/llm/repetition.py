@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textcore as tc
-from .store import prepare
+from .store import arrow_map, output_schema, prepare, shielded, unshielded
 
 WINDOW = 5
 SYMBOLS = tc._class(*((ord(c), ord(c)) for c in "#*$%&|<>"))
@@ -125,8 +125,7 @@ def quality(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     prepare(docs.sparkSession)
     made = [x.split()[0] for x in SCHEMA.split(", ")]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
-    kinds = {f.name: f for f in docs.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c].dataType.simpleString()}" for c in keep), SCHEMA])
+    schema = output_schema(docs, keep, SCHEMA)
     read = list(dict.fromkeys([*keep, text]))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,4 +140,10 @@ def quality(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
                     columns.append(pa.array(found[c]))
             yield pa.RecordBatch.from_arrays(columns, [*keep, *made])
 
-    return docs.select(*(f"`{c}`" for c in read)).mapInArrow(judge, schema)
+    return arrow_map(docs.select(*(f"`{c}`" for c in read)), judge, schema)
+
+
+def keep_good(docs: DataFrame, text: str = "text", rules: QualityRules = QualityRules()) -> DataFrame:
+    """docs without the rows that the rules reject; all columns as they were."""
+    own, back = shielded(docs, [x.split()[0] for x in SCHEMA.split(", ")])
+    return unshielded(quality(own, text, rules=rules).filter("kept"), docs.columns, back)

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .store import prepare
+from .store import arrow_map, output_schema, prepare
 
 #: Base kinds in the order listed. Letters of the assignment's name match in either case.
 BASE = {
@@ -119,8 +119,7 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, rul
     """
     prepare(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c != spans]
-    kinds = {f.name: f for f in docs.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c].dataType.simpleString()}" for c in keep), f"`{spans}` array<struct<{SCHEMA.replace(' ', ':').replace(',:', ',')}>>"])
+    schema = output_schema(docs, keep, f"`{spans}` array<struct<{SCHEMA.replace(' ', ':').replace(',:', ',')}>>")
     made = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("linked", pa.bool_())]))
     order = {k: i for i, k in enumerate([*BASE, *WEAK])}
 
@@ -137,4 +136,4 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, rul
             yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, made)], [*keep, spans])
 
     read = list(dict.fromkeys([*keep, text]))
-    return docs.select(*(f"`{c}`" for c in read)).mapInArrow(judge, schema)
+    return arrow_map(docs.select(*(f"`{c}`" for c in read)), judge, schema)

@@ -5,9 +5,13 @@ from __future__ import annotations
 import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 import cubiform
 
@@ -52,3 +56,43 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def arrow_map(df: DataFrame, function: Callable, schema: StructType | str) -> DataFrame:
+    """mapInArrow for frames with any column names; function sees the names that df has."""
+    names = df.columns
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return function(batch.rename_columns(names) for batch in batches)
+
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(named, schema)
+
+
+def ref(name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col(f"`{name}`")
+
+
+def output_schema(docs: DataFrame, keep: list[str], made: str) -> StructType:
+    """The kept columns as they are, then those that an operator makes, given as DDL."""
+    return StructType([docs.schema[c] for c in keep] + StructType.fromDDL(made).fields)
+
+
+def unused(docs: DataFrame, prefix: str) -> str:
+    """A prefix that no column of docs begins with."""
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
+def shielded(docs: DataFrame, made: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """docs with those columns renamed that an operator would overwrite, and how to name them back."""
+    prefix = unused(docs, "_own_")
+    clash = {c: f"{prefix}{c}" for c in docs.columns if c.lower() in {m.lower() for m in made}}
+    return docs.select(*(ref(c).alias(clash.get(c, c)) for c in docs.columns)), {v: k for k, v in clash.items()}
+
+
+def unshielded(df: DataFrame, columns: list[str], back: dict[str, str]) -> DataFrame:
+    """The named columns, under their own names again."""
+    inner = {v: k for k, v in back.items()}
+    return df.select(*(ref(inner.get(c, c)).alias(c) for c in columns))

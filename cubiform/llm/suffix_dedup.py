@@ -19,10 +19,11 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from . import anchors, suffixes
 from . import textcore as tc
-from .store import cut, prepare
+from .store import arrow_map, cut, prepare, ref
 
 
 @dataclass(frozen=True)
@@ -133,8 +134,8 @@ def _compared(pieces: DataFrame, rules: RepeatRules) -> DataFrame:
 FACTS = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<first:long,end:long>>, kept_text string"
 
 
-def _applied(docs: DataFrame, keep: list[str], kinds: dict, rules: RepeatRules, texts: bool) -> DataFrame:
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), FACTS])
+def _applied(docs: DataFrame, keep: list[str], rules: RepeatRules, texts: bool) -> DataFrame:
+    schema = StructType([StructField(c, docs.schema[f"_keep_{c}"].dataType) for c in keep] + StructType.fromDDL(FACTS).fields)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,7 +164,7 @@ def _applied(docs: DataFrame, keep: list[str], kinds: dict, rules: RepeatRules,
             made = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])), pa.string()))]
             yield pa.RecordBatch.from_arrays([*(_found(batch, f"_keep_{c}") for c in keep), *made], [*keep, *(x.split()[0] for x in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept_text"))])
 
-    return docs.mapInArrow(read, schema)
+    return arrow_map(docs, read, schema)
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, rules: RepeatRules = RepeatRules(), texts: bool = False) -> DataFrame:
@@ -178,10 +179,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     prepare(docs.sparkSession)
     made = [x.split()[0] for x in FACTS.split(", ")]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made and (keep is not None or c != text)]
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     body = F.coalesce(F.col(text), F.lit(""))
     # A row is known by hashes of its id and of its text: rows that agree in both are alike in all that follows.
-    rows = docs.select(*(F.col(c).alias(f"_keep_{c}") for c in keep), F.xxhash64(F.col(doc_id).cast("string")).alias("row1"), F.xxhash64(body).alias("row2"), body.alias("text"))
+    rows = docs.select(*(ref(c).alias(f"_keep_{c}") for c in keep), F.xxhash64(F.col(doc_id).cast("string")).alias("row1"), F.xxhash64(body).alias("row2"), body.alias("text"))
     runs = _anchored(rows, rules)
     # Anchors that occur twice; where least and greatest context agree, all their strings repeat.
     seen = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi")).filter("n > 1")
@@ -208,4 +208,4 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     marks = cut(whole.join(starts, ["row1", "row2"], "full"), "marks")
     joined = rows.join(marks, ["row1", "row2"], "left")
     joined = joined.withColumn("whole", F.coalesce("whole", F.array().cast("array<long>"))).withColumn("starts", F.coalesce("starts", F.array().cast("array<struct<first:int,end:int>>")))
-    return _applied(joined, keep, kinds, rules, texts)
+    return _applied(joined, keep, rules, texts)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .store import prepare
+from .store import arrow_map, output_schema, prepare
 
 
 @dataclass(frozen=True)
@@ -161,8 +161,7 @@ def grade_texts(docs: DataFrame, model: Ordinal, text: str = "text", keep: list[
     spark = prepare(docs.sparkSession)
     made = ["severity", "p_toxic", "toxic"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
-    kinds = {f.name: f for f in docs.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c].dataType.simpleString()}" for c in keep), "severity double, p_toxic double, toxic boolean"])
+    schema = output_schema(docs, keep, "severity double, p_toxic double, toxic boolean")
     shared = spark.sparkContext.broadcast((np.flatnonzero(model.weights), model.weights[model.weights != 0], model.thresholds))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,4 +180,4 @@ def grade_texts(docs: DataFrame, model: Ordinal, text: str = "text", keep: list[
             columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array(above[:, 0] >= rules.limit)], [*keep, *made])
 
-    return docs.select(*(f"`{c}`" for c in dict.fromkeys([*keep, text]))).mapInArrow(judge, schema)
+    return arrow_map(docs.select(*(f"`{c}`" for c in dict.fromkeys([*keep, text]))), judge, schema)

@@ -18,7 +18,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import Shared, prepare
+from .store import Shared, arrow_map, output_schema, prepare
 
 #: Written rules, host then path.
 WRITTEN = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -166,8 +166,7 @@ def judge_urls(pages: DataFrame, mined: list[tuple[tuple[str, ...], float]], url
     spark = prepare(pages.sparkSession)
     made = ["host", "path", "rule", "verdict", "mined_rule", "confidence"]
     keep = [c for c in (pages.columns if keep is None else keep) if c not in made]
-    kinds = {f.name: f for f in pages.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c].dataType.simpleString()}" for c in keep), "host string, path string, rule string, verdict string, mined_rule string, confidence double"])
+    schema = output_schema(pages, keep, "host string, path string, rule string, verdict string, mined_rule string, confidence double")
     shared = Shared(spark, Index(mined))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,4 +183,4 @@ def judge_urls(pages: DataFrame, mined: list[tuple[tuple[str, ...], float]], url
             made_columns = [pa.array([r[i] for r in rows], pa.string() if i < 5 else pa.float64()) for i in range(6)]
             yield pa.RecordBatch.from_arrays([*columns, *made_columns], [*keep, *made])
 
-    return pages.select(*(f"`{c}`" for c in dict.fromkeys([*keep, url]))).mapInArrow(judge, schema)
+    return arrow_map(pages.select(*(f"`{c}`" for c in dict.fromkeys([*keep, url]))), judge, schema)
