@@ -215,7 +215,7 @@ def difference(target: dict[int, int], have: dict[int, int]) -> list[tuple[int,
 
 _GABLES = {3: (0, 0), 6: (1, 0), 7: (2, 0), 8: (0, 1), 9: (1, 1), 10: (2, 1)}
 LEGACY = {
-    1: ("box", "material:v origin:vvv size:--- "), 2: ("repeat_box", "material:v origin:vvv size:--- count:- delta:sss"),
+    1: ("box", "material:v origin:vvv size:---"), 2: ("repeat_box", "material:v origin:vvv size:--- count:- delta:sss"),
     4: ("tree", "material:v leaf:v origin:vvv height:v crown:v"), 5: ("fence", "material:v origin:vvv length:- axis:v spacing:v"),
 } | {code: ("gable", "material:v origin:vvv width:- depth:-") for code in _GABLES}
 
@@ -281,6 +281,17 @@ def read_legacy(data: bytes) -> Program:
     return Program(size, ops, sorted({op[m] for op in ops for m in ("material", "leaf") if m in op}))
 
 
+def write_legacy(program: Program) -> bytes:
+    """NCM3 version 1, for programs of the commands it has."""
+    turned = {v: k for k, v in _GABLES.items()}
+    codes = {name: code for code, (name, _) in LEGACY.items()}
+    out = b"\1" + b"".join(map(varint, (*program.size, len(program.ops))))
+    for op in program.ops:
+        code = turned[op["style"], int(op["z_oriented"])] if op["op"] == "gable" else codes[op["op"]]
+        out += bytes([code]) + _write_fields(op, LEGACY[code][1])
+    return out
+
+
 # ---- the compact format --------------------------------------------------------------------
 
 #: Fields: m palette index, o origin, s size less one, l<axis> a length less one, n<bits> a number, d a delta.
