@@ -8,7 +8,14 @@ RESULT_DOMAIN = "NICECHUNK:POUW:RESULT:V1"
 
 #: Profiles and formats by number.
 PROFILES = {"terrain_delta": 1, "building": 2, "forged_item": 3}
-FORMATS = {"chunkbroken-v1": 1, "ncm3-v1": 2, "ncf1-v15": 3, "pouw-vm-v1": 4, "ncm4-pouw-v1": 5}
+ACCOUNT, LEGACY, FORGED, MACHINE, COMPACT = "chunkbroken-v1", "ncm3-v1", "ncf1-v15", "pouw-vm-v1", "ncm4-pouw-v1"
+FORMATS = {ACCOUNT: 1, LEGACY: 2, FORGED: 3, MACHINE: 4, COMPACT: 5}
+
+#: How payloads, texts and envelopes begin.
+COMPACT_MAGIC, COMPACT_TEXT, LEGACY_TEXT, ACCOUNT_MAGIC, FORGED_TEXT, MACHINE_MAGIC = "NC4P", "NCM4P:", "NCM3:", "NCBK", "NCF1.", "NCPV"
+TASK_MAGIC, RESULT_MAGIC = "NCPT", "NCPR"
+#: In the order in which they are tried.
+BEGINNINGS = ((COMPACT_MAGIC, COMPACT), (COMPACT_TEXT, COMPACT), (LEGACY_TEXT, LEGACY), (ACCOUNT_MAGIC, ACCOUNT), (FORGED_TEXT, FORGED), (MACHINE_MAGIC, MACHINE))
 
 #: Grids: terrain x, y, z; forge x, y, z.
 TERRAIN_GRID = (16, 512, 16)

@@ -102,11 +102,10 @@ def trim_ascii(text: ColumnOrName) -> Column:
 def detect_format(text: ColumnOrName) -> Column:
     """The format that a text's or (latin-1) payload's beginning names."""
     t = trim_ascii(text)
-    begins = lambda p: F.startswith(t, F.lit(p))
-    return (
-        F.when(begins("NC4P") | begins("NCM4P:"), "ncm4-pouw-v1").when(begins("NCM3:"), "ncm3-v1").when(begins("NCBK"), "chunkbroken-v1")
-        .when(begins("NCF1."), "ncf1-v15").when(begins("NCPV"), "pouw-vm-v1").otherwise("unknown")
-    )
+    found = F.lit("unknown")
+    for prefix, name in reversed(K.BEGINNINGS):
+        found = F.when(F.startswith(t, F.lit(prefix)), name).otherwise(found)
+    return found
 
 
 def domain_hash(domain: str, *parts: Column) -> Column:

@@ -141,19 +141,21 @@ def shaped(spark: SparkSession, sf_dir: str, op: str) -> DataFrame:
 
 # ---- scalar functions ----------------------------------------------------------------------
 
-_TEXTS = "SELECT doc_id, CASE " + " ".join(f"WHEN doc_id % 9 = {i} THEN '{t}' || left(text, 8)" for i, t in enumerate(("NC4P", "NCM4P:", " NCM3:", "NCBK", "NCF1.", "NCPV"))) + " ELSE text END AS text FROM documents"
+_PREFIXES = [(" " if name == K.LEGACY else "") + prefix for prefix, name in K.BEGINNINGS]
+_TEXTS = "SELECT doc_id, CASE " + " ".join(f"WHEN doc_id % 9 = {i} THEN '{t}' || left(text, 8)" for i, t in enumerate(_PREFIXES)) + " ELSE text END AS text FROM documents"
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    for i, t in enumerate(("NC4P", "NCM4P:", " NCM3:", "NCBK", "NCF1.", "NCPV")):
+    for i, t in enumerate(_PREFIXES):
         text = F.when(F.col("doc_id") % 9 == i, F.concat(F.lit(t), F.left(F.col("text"), F.lit(8)))).otherwise(text)
     return A.read(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
 
 
-@query("detect_format", sql("doc_id format:s", """SELECT doc_id, CASE WHEN starts_with(t, 'NC4P') OR starts_with(t, 'NCM4P:') THEN 'ncm4-pouw-v1' WHEN starts_with(t, 'NCM3:') THEN 'ncm3-v1'
- WHEN starts_with(t, 'NCBK') THEN 'chunkbroken-v1' WHEN starts_with(t, 'NCF1.') THEN 'ncf1-v15' WHEN starts_with(t, 'NCPV') THEN 'pouw-vm-v1' ELSE 'unknown' END AS format
- FROM (SELECT doc_id, ltrim(text, chr(9) || chr(10) || chr(12) || chr(13) || ' ') AS t FROM texts) AS trimmed""", f"texts AS ({_TEXTS})"))
+_CASES = " ".join(f"WHEN starts_with(t, '{prefix}') THEN '{name}'" for prefix, name in K.BEGINNINGS)
+
+
+@query("detect_format", sql("doc_id format:s", f"SELECT doc_id, CASE {_CASES} ELSE 'unknown' END AS format FROM (SELECT doc_id, ltrim(text, chr(9) || chr(10) || chr(12) || chr(13) || ' ') AS t FROM texts) AS trimmed", f"texts AS ({_TEXTS})"))
 def _(spark, d):
     return _texts(spark, d).select("doc_id", S.detect_format("text").alias("format"))
 
@@ -214,7 +216,7 @@ def _(spark, d):
 
 @query("sha_domain", sql("doc_id hash:s", f"SELECT doc_id, {root_sql(K.ENCODING_DOMAIN, repr('0202'), 'hex(encode(text))')} AS hash FROM documents"))
 def _(spark, d):
-    return A.read(spark, d, "documents").select("doc_id", S.encoding_hash("building", "ncm3-v1", F.hex(F.encode("text", "UTF-8"))).alias("hash"))
+    return A.read(spark, d, "documents").select("doc_id", S.encoding_hash("building", K.LEGACY, F.hex(F.encode("text", "UTF-8"))).alias("hash"))
 
 
 @query("field_widths", sql("p_partkey width", "SELECT p_partkey, length(ltrim(bin(greatest(p_size - 1, 1)), '0')) AS width FROM part"))
@@ -609,7 +611,7 @@ def _(spark, d):
 
 @query("encoding_hash", sql("page_id bytes hash:s", f"SELECT page_id, octet_length(encode(html)) AS bytes, {root_sql(K.ENCODING_DOMAIN, repr('0205'), 'hex(encode(html))')} AS hash FROM pages"))
 def _(spark, d):
-    return A.read(spark, d, "pages").select("page_id", F.octet_length("html").alias("bytes"), S.encoding_hash("building", "ncm4-pouw-v1", F.hex(F.encode("html", "UTF-8"))).alias("hash"))
+    return A.read(spark, d, "pages").select("page_id", F.octet_length("html").alias("bytes"), S.encoding_hash("building", K.COMPACT, F.hex(F.encode("html", "UTF-8"))).alias("hash"))
 
 
 _BITS = {

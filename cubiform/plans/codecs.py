@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 import cubiform
 
 
+from .. import constants as K
 from ..operators import canonical, compress, geometry, search, state
 from ..operators.search import ChaCha8, cross, evaluate, mutate, tidy
 from ..sources import assets, envelopes, wire
@@ -73,7 +74,7 @@ _rooted("roundtrip_compact", lambda p: P.execute(P.decode(P.encode(p))))
 _rooted("roundtrip_compact_text", lambda p: P.execute(P.decode(wire.from_base64url(wire.to_base64url(P.encode(p))))))
 _rooted("roundtrip_legacy", lambda p: P.execute(P.read_legacy(P.write_legacy(p))))
 _rooted("roundtrip_candidate", lambda p: C.run_building(C.read_building(C.write_building(p))))
-_rooted("roundtrip_wrapped", lambda p: P.execute(P.read_legacy(P.unwrap(P.wrap("building", "ncm3-v1", P.write_legacy(p)))[1])))
+_rooted("roundtrip_wrapped", lambda p: P.execute(P.read_legacy(P.unwrap(P.wrap("building", K.LEGACY, P.write_legacy(p)))[1])))
 _rooted("exactify", lambda p: P.execute(P.decode(P.encode(P.exactify(P.Program(p.size, p.ops[:2], p.palette), P.execute(p))))))
 _rooted("compress_building", lambda p: C.run_building(C.read_building(compress.building(P.execute(p)))))
 
@@ -111,7 +112,7 @@ def _accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ids = sorted(set(map(int, pdf["id"])))
         rows = b"".join((i % 16 | (i // 16 % 16) << 4 | (i // 256) << 8).to_bytes(3, "little") for i in ids)
         capacity = 1 << max(len(ids) - 1, 0).bit_length()
-        head = b"NCBK\1\0" + len(ids).to_bytes(2, "little") + capacity.to_bytes(2, "little") + int(pdf["min_y"].iloc[0]).to_bytes(2, "little", signed=True) + bytes(4)
+        head = K.ACCOUNT_MAGIC.encode() + b"\1\0" + len(ids).to_bytes(2, "little") + capacity.to_bytes(2, "little") + int(pdf["min_y"].iloc[0]).to_bytes(2, "little", signed=True) + bytes(4)
         return pd.DataFrame([(str(pdf["scene"].iloc[0]), head + rows.ljust(3 * capacity, b"\0"))], columns=["asset", "content"])
 
     return A.terrain(spark, sf_dir).groupBy("scene").applyInPandas(one, "asset string, content binary")
@@ -151,7 +152,7 @@ def _(spark, d):
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for asset, data in zip(pdf["asset"], pdf["content"]):
-            task = envelopes.read_task(envelopes.Task("terrain_delta", asset, "chunkbroken-v1", bytes(data)).to_bytes())
+            task = envelopes.read_task(envelopes.Task("terrain_delta", asset, K.ACCOUNT, bytes(data)).to_bytes())
             min_y, cells = C.read_account(bytes(data))
             drawn = cells if int(asset) % 3 else cells - {min(cells)}
             sent = envelopes.Result(task.task_id, compress.terrain(min_y, drawn), "terrain_delta", None, ("baseline", 1, 0, 0, 1))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import cubiform
 
+from .. import constants as K
 from . import envelopes, programs, wire
 
 cloudpickle.register_pickle_by_value(cubiform)
@@ -30,7 +31,7 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 def _profile(name: str) -> str | None:
     low = name.lower()
-    return next((p for p, words in (("terrain_delta", ("terrain",)), ("building", ("building", "ncm3")), ("forged_item", ("forge",))) if any(w in low for w in words)), None)
+    return next((p for p, words in (("terrain_delta", ("terrain",)), ("building", ("building",)), ("forged_item", ("forge",))) if any(w in low for w in words)), None)
 
 
 def decoded(assets: DataFrame) -> DataFrame:
@@ -74,10 +75,10 @@ def commands(assets: DataFrame) -> DataFrame:
             for asset, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
                     name = wire.detect(data)
-                    if name == "ncm4-pouw-v1":
-                        program = programs.decode(data if data.startswith(b"NC4P") else wire.from_base64url(data.strip()[6:].decode("latin-1")))
+                    if name == K.COMPACT:
+                        program = programs.decode(data if data.startswith(K.COMPACT_MAGIC.encode()) else wire.from_base64url(data.strip()[6:].decode("latin-1")))
                     else:
-                        program = programs.read_legacy(wire.from_base64url(data.strip()[5:].decode("latin-1")) if name == "ncm3-v1" else data)
+                        program = programs.read_legacy(wire.from_base64url(data.strip()[5:].decode("latin-1")) if name == K.LEGACY else data)
                 except wire.FormatError:
                     continue
                 rows += [_flat(asset, seq, op, program.size) for seq, op in enumerate(program.ops)]
@@ -98,7 +99,7 @@ def audited(assets: DataFrame) -> DataFrame:
             rows = []
             for asset, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    source = wire.from_base64url(data.strip()[5:].decode("latin-1")) if wire.detect(data) == "ncm3-v1" else data
+                    source = wire.from_base64url(data.strip()[5:].decode("latin-1")) if wire.detect(data) == K.LEGACY else data
                     rows.append({"asset": asset} | programs.audit(source))
                 except wire.FormatError:
                     continue
@@ -110,7 +111,7 @@ def audited(assets: DataFrame) -> DataFrame:
 def accounts(assets: DataFrame) -> DataFrame:
     """(asset, min_y, id) of terrain accounts, in DataFrame functions alone: no byte leaves the JVM."""
     word = lambda at, n: sum((F.conv(F.hex(F.substring("content", at + k + 1, 1)), 16, 10).cast("long") * (1 << 8 * k) for k in range(n)), F.lit(0))
-    good = assets.filter(F.substring("content", 1, 4) == F.lit(b"NCBK")).select("asset", "content", word(6, 2).alias("n"), word(8, 2).alias("capacity"), word(10, 2).alias("y"))
+    good = assets.filter(F.substring("content", 1, 4) == F.lit(K.ACCOUNT_MAGIC.encode())).select("asset", "content", word(6, 2).alias("n"), word(8, 2).alias("capacity"), word(10, 2).alias("y"))
     good = good.filter("n <= capacity and capacity <= 2048 and n > 0 and octet_length(content) = 16 + 3 * capacity")
     each = good.select("asset", F.when(F.col("y") > 32767, F.col("y") - 65536).otherwise(F.col("y")).alias("min_y"), "content", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
     at = lambda k: F.conv(F.hex(F.substring(F.col("content"), (F.lit(17 + k) + 3 * F.col("i")).cast("int"), F.lit(1))), 16, 10).cast("long")

@@ -33,11 +33,11 @@ class TerrainProgram:
 
 
 def head(profile: str) -> bytes:
-    return b"NCPV" + bytes([1, K.PROFILES[profile], 1, 0])
+    return K.MACHINE_MAGIC.encode() + bytes([1, K.PROFILES[profile], 1, 0])
 
 
 def _check_head(r: Bytes, profile: str) -> None:
-    if r.take(4) != b"NCPV":
+    if r.take(4) != K.MACHINE_MAGIC.encode():
         raise FormatError("InvalidEncoding", "magic")
     version, found, cost, flags = r.take(4)
     if version != 1 or cost != 1 or flags:
@@ -268,7 +268,7 @@ def terrain_canonical(min_y: int, cells: set[int]) -> bytes:
 
 def read_account(data: bytes) -> tuple[int, set[int]]:
     """A terrain account: (min_y, deleted cells) of 24-bit records."""
-    if data[:4] != b"NCBK" or len(data) < 16:
+    if data[:4] != K.ACCOUNT_MAGIC.encode() or len(data) < 16:
         raise FormatError("InvalidEncoding", "magic")
     count, capacity = int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little")
     if data[4] != 1:

@@ -243,12 +243,12 @@ def _write_fields(op: dict, spec: str) -> bytes:
 
 
 def read_legacy(data: bytes) -> Program:
-    """NCM3 version 1. Limits are checked as they are met; geometry is checked when it is run."""
+    """Version 1. Limits are checked as they are met; geometry is checked when it is run."""
     if not data or len(data) > 65_535:
         raise FormatError("ResourceLimit", "payload")
     r = Bytes(data)
     if r.byte() != 1:
-        raise FormatError("UnsupportedVersion", "ncm3-version")
+        raise FormatError("UnsupportedVersion", "legacy-version")
     size = tuple(r.varint() for _ in range(3))
     if any(not 1 <= s <= 256 for s in size):
         raise FormatError("OutOfBounds", "dimensions")
@@ -259,7 +259,7 @@ def read_legacy(data: bytes) -> Program:
     for _ in range(count):
         code = r.byte()
         if code not in LEGACY:
-            raise FormatError("UnknownOpcode", "ncm3-opcode")
+            raise FormatError("UnknownOpcode", "legacy-opcode")
         name, spec = LEGACY[code]
         op = {"op": name, **_read_fields(r, spec)}
         if any(not 1 <= op[m] <= 0xFFFF for m in ("material", "leaf") if m in op):
@@ -282,7 +282,7 @@ def read_legacy(data: bytes) -> Program:
 
 
 def write_legacy(program: Program) -> bytes:
-    """NCM3 version 1, for programs of the commands it has."""
+    """Version 1, for programs of the commands it has."""
     turned = {v: k for k, v in _GABLES.items()}
     codes = {name: code for code, (name, _) in LEGACY.items()}
     out = b"\1" + b"".join(map(varint, (*program.size, len(program.ops))))
@@ -354,7 +354,7 @@ def write_compact(program: Program) -> bytes:
                     raise FormatError("OutOfBounds", "count")
                 w.write(v - int(less or 0), int(n))
     head = b"".join(map(varint, (*program.size, len(palette), *palette, len(program.ops))))
-    return b"NC4P" + bytes([1, K.PROFILES["building"], 0, 1]) + head + w.bytes()
+    return K.COMPACT_MAGIC.encode() + bytes([1, K.PROFILES["building"], 0, 1]) + head + w.bytes()
 
 
 def _read_op(bits: BitReader, palette: list[int], c: list[int], m_bits: int) -> dict:
@@ -514,7 +514,7 @@ def encode(program: Program) -> bytes:
 
 def decode(data: bytes) -> Program:
     r = Bytes(data)
-    if r.take(4) != b"NC4P":
+    if r.take(4) != K.COMPACT_MAGIC.encode():
         raise FormatError("InvalidEncoding", "magic")
     version, profile, flags, codec = r.take(4)
     if version != 1 or flags or codec != 1 or profile != K.PROFILES["building"]:
@@ -550,7 +550,7 @@ def exactify(program: Program, target: Scene) -> Program:
 
 def wrap(profile: str, format_name: str, payload: bytes) -> bytes:
     """A source as it is, inside the compact envelope."""
-    return b"NC4P" + bytes([1, K.PROFILES[profile], 0, 0, K.FORMATS[format_name]]) + varint(len(payload)) + payload
+    return K.COMPACT_MAGIC.encode() + bytes([1, K.PROFILES[profile], 0, 0, K.FORMATS[format_name]]) + varint(len(payload)) + payload
 
 
 def unwrap(data: bytes) -> tuple[str, bytes]:
@@ -567,7 +567,7 @@ def unwrap(data: bytes) -> tuple[str, bytes]:
 def audit(source: bytes) -> dict:
     """What the compact form saves on a legacy building, and which of the two is chosen."""
     scene = execute(read_legacy(source))
-    wrapped = wrap("building", "ncm3-v1", source)
+    wrapped = wrap("building", K.LEGACY, source)
     try:
         compact = encode(read_legacy(source))
         if execute(decode(compact)).voxels != scene.voxels:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 import re
 
+from .. import constants as K
+
 
 class FormatError(ValueError):
     """kind is the class of failure, code what exactly is wrong."""
@@ -159,7 +161,4 @@ def to_base64url(data: bytes) -> str:
 def detect(data: bytes) -> str:
     """The format that a payload's beginning names."""
     body = data.strip(b" \t\n\x0c\r")
-    for prefix, name in ((b"NC4P", "ncm4-pouw-v1"), (b"NCM4P:", "ncm4-pouw-v1"), (b"NCM3:", "ncm3-v1"), (b"NCBK", "chunkbroken-v1"), (b"NCF1.", "ncf1-v15"), (b"NCPV", "pouw-vm-v1")):
-        if body.startswith(prefix):
-            return name
-    return "unknown"
+    return next((name for prefix, name in K.BEGINNINGS if body.startswith(prefix.encode())), "unknown")

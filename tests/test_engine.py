@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cubiform import constants as K
 from cubiform.operators import canonical, geometry, search, state
 from cubiform.operators import difference as D
 from cubiform.plans import catalog
@@ -55,7 +56,7 @@ def test_residual_costs_match_bytes(spark):
 
 
 def test_assets_table(spark):
-    rows = [(f"building/{n}", bytes.fromhex(v[0])) for n, v in BUILDINGS.items()] + [(f"text/{n}", b"NCM3:" + wire.to_base64url(bytes.fromhex(v[0])).encode()) for n, v in BUILDINGS.items()]
+    rows = [(f"building/{n}", bytes.fromhex(v[0])) for n, v in BUILDINGS.items()] + [(f"text/{n}", K.LEGACY_TEXT.encode() + wire.to_base64url(bytes.fromhex(v[0])).encode()) for n, v in BUILDINGS.items()]
     rows += [(f"forge/{n}", bytes.fromhex(v[0])) for n, v in FORGED.items()] + [(f"terrain/{n}", v[0]) for n, v in TERRAIN.items()] + [("building/bad", COTTAGE[:-1]), ("building/none", None)]
     found = {r.asset: r for r in assets.decoded(spark.createDataFrame(rows, "asset string, content binary")).collect()}
     for n, v in BUILDINGS.items():
@@ -138,10 +139,10 @@ def test_every_mutation_keeps_programs_valid():
 def test_stream(spark, tmp_path):
     folder = tmp_path / "in" / "building"
     folder.mkdir(parents=True)
-    (folder / "cottage.ncm3").write_bytes(COTTAGE)
+    (folder / "cottage.bin").write_bytes(COTTAGE)
     for name in ("variant", None):
         ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
         if name:
-            (folder / f"{name}.ncm3").write_bytes(bytes.fromhex(BUILDINGS[name][0]))
+            (folder / f"{name}.bin").write_bytes(bytes.fromhex(BUILDINGS[name][0]))
     found = spark.read.parquet(str(tmp_path / "out"))
     assert {r.root for r in found.collect()} == {BUILDINGS["cottage"][3], BUILDINGS["variant"][3]} and found.count() == 2

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from cubiform import constants as K
 from cubiform.operators import compress
 from cubiform.sources import candidates as C
 from cubiform.sources import envelopes as E
@@ -28,7 +29,7 @@ FORGED = {
 
 def account(min_y, capacity, cells):
     rows = b"".join((x | z << 4 | y << 8).to_bytes(3, "little") for x, y, z in cells)
-    return b"NCBK\1\0" + len(cells).to_bytes(2, "little") + capacity.to_bytes(2, "little") + min_y.to_bytes(2, "little", signed=True) + bytes(4) + rows.ljust(3 * capacity, b"\0")
+    return K.ACCOUNT_MAGIC.encode() + b"\1\0" + len(cells).to_bytes(2, "little") + capacity.to_bytes(2, "little") + min_y.to_bytes(2, "little", signed=True) + bytes(4) + rows.ljust(3 * capacity, b"\0")
 
 
 TERRAIN = {
@@ -45,7 +46,7 @@ def test_building(name):
     assert (found["compact_bytes"], found["units"], found["root"]) == (size, units, root)
     assert P.execute(P.decode(found["encoding"])).root() == root
     if code:
-        assert P.encoding_hash("building", "ncm3-v1", bytes.fromhex(payload)) == code
+        assert P.encoding_hash("building", K.LEGACY, bytes.fromhex(payload)) == code
     scene = P.execute(P.read_legacy(bytes.fromhex(payload)))
     assert C.run_building(C.read_building(compress.building(scene))).voxels == scene.voxels
 
@@ -54,7 +55,7 @@ def test_building(name):
 def test_forged(name):
     payload, size, root, code = FORGED[name]
     item = G.read_forged(bytes.fromhex(payload))
-    assert item.root() == root and P.encoding_hash("forged_item", "ncf1-v15", bytes.fromhex(payload)) == code
+    assert item.root() == root and P.encoding_hash("forged_item", K.FORGED, bytes.fromhex(payload)) == code
     assert len(compress.forged(item)) <= size
 
 
@@ -156,7 +157,7 @@ def test_limits():
 
 def test_task_and_result():
     data, _, root = TERRAIN["row"]
-    task = E.Task("terrain_delta", "asset", "chunkbroken-v1", data, network=("net", 7, None))
+    task = E.Task("terrain_delta", "asset", K.ACCOUNT, data, network=("net", 7, None))
     again = E.read_task(task.to_bytes())
     assert again.task_id == task.task_id and again.root == root
     min_y, cells = C.read_account(data)
