@@ -360,5 +360,95 @@ def run_forge(ops: list[dict], patches: list[tuple]) -> tuple[set[int], int]:
     return cells, units
 
 
-def component_of(c: Component, cells: set[int]) -> Component:
-    return Component(c.resource, c.colour, c.dims, c.offset, c.grip, sorted(cells), c.paint)
+def _read_grip(r: Bytes) -> tuple | None:
+    flag = r.byte()
+    if flag > 1:
+        raise FormatError("NonCanonical", "grip-flag")
+    if not flag:
+        return None
+    offset = tuple(r.signed() for _ in range(3))
+    axis, sign, rotation = r.take(3)
+    if axis > 2 or sign > 1 or rotation > 3:
+        raise FormatError("OutOfBounds", "grip")
+    return offset, axis, 1 if sign else -1, rotation
+
+
+def _read_quads(r: Bytes, width: int, most: int) -> list[tuple]:
+    """Quads of so many bytes and a colour, in strict order."""
+    count = r.varint()
+    if count > most:
+        raise FormatError("ResourceLimit", "quads")
+    found = [(*r.take(width), int.from_bytes(r.take(2), "little")) for _ in range(count)]
+    if any(b <= a for a, b in zip(found, found[1:])) or any(q[0] > 2 or q[1] > 1 or q[-1] > 0xFFF for q in found):
+        raise FormatError("NonCanonical", "quads")
+    return found
+
+
+def _read_forge_op(r: Bytes) -> dict:
+    names = {code: name for name, (code, _) in FORGE.items()}
+    code = r.byte()
+    if code not in names:
+        raise FormatError("UnknownOpcode", "forge-opcode")
+    op: dict = {"op": names[code]}
+    if op["op"] == "cut_box":
+        op["origin"], op["size"] = tuple(r.take(3)), tuple(r.take(3))
+        if any(not s or o + s > g for o, s, g in zip(op["origin"], op["size"], K.FORGE_GRID)):
+            raise FormatError("OutOfBounds", "cut-box")
+    elif op["op"] in ("extrude", "symmetry"):
+        op["axis"] = r.byte()
+        if op["axis"] > 2:
+            raise FormatError("OutOfBounds", "axis")
+        if op["op"] == "extrude":
+            op["mask"] = wire.read_mask(r, tangent_area(op["axis"]))
+    elif op["op"] == "rle":
+        value, at, cells = r.byte(), 0, set()
+        if value > 1:
+            raise FormatError("NonCanonical", "rle")
+        for _ in range(r.varint()):
+            n = r.varint()
+            if not n or at + n > CELLS:
+                raise FormatError("OutOfBounds", "rle")
+            cells |= set(range(at, at + n)) if value else set()
+            at, value = at + n, 1 - value
+        if at != CELLS:
+            raise FormatError("Truncated", "rle")
+        op["cells"] = cells
+    elif op["op"] == "sparse":
+        op["cells"] = set(wire.read_gaps(r, r.varint()))
+        if any(c >= CELLS for c in op["cells"]):
+            raise FormatError("OutOfBounds", "sparse")
+    return op
+
+
+def read_forge(data: bytes) -> tuple[Forged, int]:
+    """A forged item as its program makes it, and the units."""
+    r = Bytes(data)
+    _check_head(r, "forged_item")
+    item = Forged(int.from_bytes(r.take(2), "little"), int.from_bytes(r.take(2), "little"), r.take(12))
+    mode, units, most = r.byte(), 0, K.LIMITS["max_patches"][0]
+    if mode > 1 or any(a > 63 for a in item.attributes):
+        raise FormatError("OutOfBounds", "equipment")
+    if mode:
+        dims = tuple(r.varint() for _ in range(3))
+        if any(d % 2 or not 2 <= d <= 1022 for d in dims):
+            raise FormatError("OutOfBounds", "appearance-dimensions")
+        grip = _read_grip(r)
+        quads = _read_quads(r, 8, min(most, 4095))
+        if not quads:
+            raise FormatError("NonCanonical", "appearance")
+        item.appearance, units = (dims, grip, quads), 13 * len(quads)
+    else:
+        for _ in range(r.varint()):
+            resource, colour, dims = r.byte(), int.from_bytes(r.take(2), "little"), tuple(r.take(3))
+            if resource >= len(K.RESOURCE_COLOURS) or colour > 0xFFF or not all(dims):
+                raise FormatError("OutOfBounds", "component")
+            offset, grip = tuple(r.signed() for _ in range(3)), _read_grip(r)
+            ops = [_read_forge_op(r) for _ in range(r.varint())]
+            cells, used = run_forge(ops, _read_patches(r, 2, False))
+            paint = _read_quads(r, 7, most)
+            if not cells or max(cells) >= CELLS:
+                raise FormatError("OutOfBounds", "cells")
+            item.components.append(Component(resource, colour, dims, offset, grip, sorted(cells), paint))
+            units += used + 11 * len(paint)
+    r.end()
+    return item, units

@@ -56,7 +56,11 @@ def test_forged(name):
     payload, size, root, code = FORGED[name]
     item = G.read_forged(bytes.fromhex(payload))
     assert item.root() == root and P.encoding_hash("forged_item", K.FORGED, bytes.fromhex(payload)) == code
-    assert len(compress.forged(item)) <= size
+    best = compress.forged(item)
+    assert len(best) <= size and C.read_forge(best)[0].root() == root
+    task = E.Task("forged_item", name, K.FORGED, bytes.fromhex(payload))
+    report = E.verify(E.read_task(task.to_bytes()), E.Result(task.task_id, best, "forged_item"))
+    assert report["exact"] and not report["improved"] and report["mismatches"] == 0
 
 
 @pytest.mark.parametrize("name", TERRAIN)
@@ -123,7 +127,7 @@ def test_arbitrary_bytes_end_in_format_errors():
     for _ in range(300):
         data = bytearray(good)
         data[random.randrange(len(data))] = random.randrange(256)
-        for f in (lambda d: P.execute(P.decode(d)), P.read_legacy, G.read_forged, C.read_building, C.read_terrain, E.read_task):
+        for f in (lambda d: P.execute(P.decode(d)), P.read_legacy, G.read_forged, C.read_building, C.read_terrain, C.read_forge, E.read_task):
             try:
                 f(bytes(data))
             except wire.FormatError:
