@@ -28,11 +28,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         # Large star: each node ties its larger neighbours to the least of its neighbourhood.
         both = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Written out, so that a join with many rows of one node can be split at run time.
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
         # Small star: each node ties its smaller neighbours, and itself, to the least of them.
         large = cut(large, "edges")
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
+        low = cut(large.groupBy("b").agg(F.min("a").alias("m")), "least")
         tied = large.join(low, "b").select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b"))
         tied = tied.union(low.select(F.col("m").alias("a"), "b")).filter("a <> b").distinct()
         stars = cut(tied, "edges")
