@@ -8,20 +8,13 @@ from ..sources import forged as G
 from ..sources import programs as P
 
 
-def grown_boxes(cells: dict[int, int], grid: tuple[int, int, int], to_id, order: tuple[int, int, int]) -> list[tuple[int, tuple, tuple]]:
+def grown_boxes(cells: dict[int, int], grid: tuple[int, int, int], to_id, to_xyz, order: tuple[int, int, int]) -> list[tuple[int, tuple, tuple]]:
     """Disjoint boxes of one value that cover the cells: from each first cell grown along each axis in order."""
-    at = {}
-    for x in range(grid[0]):
-        for y in range(grid[1]):
-            for z in range(grid[2]):
-                i = to_id(x, y, z)
-                if i in cells:
-                    at[i] = (x, y, z)
     left, found = dict(cells), []
     for i in sorted(cells):
         if i not in left:
             continue
-        value, start, size = left[i], at[i], [1, 1, 1]
+        value, start, size = left[i], to_xyz(i), [1, 1, 1]
 
         def spread(s):
             return [to_id(start[0] + a, start[1] + b, start[2] + c) for a in range(s[0]) for b in range(s[1]) for c in range(s[2])]  # noqa: B023
@@ -57,16 +50,20 @@ def terrain(min_y: int, cells: set[int]) -> bytes:
     if ids:
         tries.append([{"op": "elias_fano", "values": ids}])
     tries += [[{"op": "delete_run", "start": s, "length": n} for s, n in runs if n >= least] for least in (1, 2, 3, 4)]
-    tries += [[{"op": "layer", "y": y, "mask": [int(p in set(b)) for p in range(256)]} for y, b in sorted(layers.items()) if len(b) >= least] for least in (1, 32, 64, 128)]
+    masks = {y: [int(p in b) for p in range(256)] for y, b in ((y, set(b)) for y, b in sorted(layers.items()))}
+    tries += [[{"op": "layer", "y": y, "mask": mask} for y, mask in masks.items() if len(layers[y]) >= least] for least in (1, 32, 64, 128)]
     split = [(i % 16, i // 256, i // 16 % 16) for i in ids]
     if split:
         low, high = [min(c) for c in zip(*split)], [max(c) for c in zip(*split)]
-        tries.append([{"op": "delete_box", "origin": tuple(low), "size": tuple(h - a + 1 for a, h in zip(low, high))}])
+        size = tuple(h - a + 1 for a, h in zip(low, high))
+        # A patch has two bytes at least, and no program needs over four for a cell.
+        if size[0] * size[1] * size[2] <= 4 * len(ids):
+            tries.append([{"op": "delete_box", "origin": tuple(low), "size": size}])
     if len(ids) <= 20_000:
         ys = sorted({s[1] for s in split})
         shift = ys[0] if ys else 0
         grid = (16, (ys[-1] - shift + 1) if ys else 1, 16)
-        boxes = grown_boxes({i - 256 * shift: 1 for i in ids}, grid, lambda x, y, z: x + 16 * (z + 16 * y), (0, 2, 1))
+        boxes = grown_boxes({i - 256 * shift: 1 for i in ids}, grid, lambda x, y, z: x + 16 * (z + 16 * y), lambda i: (i % 16, i // 256, i // 16 % 16), (0, 2, 1))
         tries.append([{"op": "delete_box", "origin": (o[0], o[1] + shift, o[2]), "size": s} for _, o, s in boxes])
     best = None
     for ops in tries:
@@ -81,12 +78,12 @@ def terrain(min_y: int, cells: set[int]) -> bytes:
 def building(scene: P.Scene) -> bytes:
     """The smallest of: patches, a literal, grown boxes, runs along an axis, a box for each material."""
     sx, sy, sz = scene.size
-    to_id = lambda x, y, z: x + sx * (z + sz * y)
-    boxes = grown_boxes(scene.voxels, scene.size, to_id, (0, 2, 1)) if sx * sy * sz <= 1 << 20 else []
+    to_id, to_xyz = lambda x, y, z: x + sx * (z + sz * y), lambda i: (i % sx, i // (sx * sz), i // sx % sz)
+    boxes = grown_boxes(scene.voxels, scene.size, to_id, to_xyz, (0, 2, 1))
     tries = [[], [{"op": "literal", "voxels": dict(scene.voxels)}]]
     tries.append([{"op": "box", "material": m, "origin": o, "size": s} for m, o, s in boxes])
     for axis in range(3):
-        runs = grown_boxes(scene.voxels, scene.size, to_id, (axis,)) if boxes else []
+        runs = grown_boxes(scene.voxels, scene.size, to_id, to_xyz, (axis,))
         tries.append([{"op": "run", "material": m, "origin": o, "axis": axis, "length": s[axis]} for m, o, s in runs if s[axis] > 1])
     around: dict[int, list[tuple]] = {}
     for i, m in scene.voxels.items():
@@ -118,7 +115,7 @@ def forged(item: G.Forged) -> bytes:
             tries.append([{"op": "extrude", "axis": axis, "mask": mask}])
         half = {i for i in want if i % G.GX < G.GX // 2}
         tries.append([{"op": "sparse", "cells": half}, {"op": "symmetry", "axis": 0}] if half else [{"op": "solid"}])
-        holes = grown_boxes(dict.fromkeys(set(range(G.CELLS)) - want, 1), K.FORGE_GRID, G.cell_id, (0, 1, 2))
+        holes = grown_boxes(dict.fromkeys(set(range(G.CELLS)) - want, 1), K.FORGE_GRID, G.cell_id, lambda i: (i % G.GX, i // G.GX % G.GY, i // (G.GX * G.GY)), (0, 1, 2))
         if len(holes) <= 31:
             tries.append([{"op": "solid"}, *({"op": "cut_box", "origin": o, "size": s} for _, o, s in holes)])
         best = None

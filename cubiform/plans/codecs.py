@@ -5,9 +5,10 @@ A scene, bounded by the limits, is the unit of all Python work here.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,21 +44,32 @@ def query(name: str, oracle: str | None = None):
     return put
 
 
-def _program(pdf: pd.DataFrame) -> P.Program:
-    """The box commands of one scene."""
-    rows = pdf.sort_values("seq")
-    ops = [{"op": "box", "material": r.material, "origin": (r.ox, r.oy, r.oz), "size": (r.sx, r.sy, r.sz)} for r in rows.astype(object).itertuples()]
+def _program(rows: list[dict]) -> P.Program:
+    """The box commands of one scene, in order."""
+    ops = [{"op": "box", "material": r["material"], "origin": (r["ox"], r["oy"], r["oz"]), "size": (r["sx"], r["sy"], r["sz"])} for r in rows]
     return P.Program(DIMS, ops, sorted({op["material"] for op in ops}))
 
 
-def _per_scene(spark: SparkSession, sf_dir: str, f: Callable[[P.Program], tuple], schema: str) -> DataFrame:
-    columns = [x.split()[0] for x in schema.split(", ")]
+def _gathered(rows: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """(key, rows): a bounded scene's rows in one sorted array, so that Python gets whole batches of scenes."""
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*values))).alias("rows"))
+
+
+def _mapped(gathered: DataFrame, f: Callable[[int, list[dict]], tuple], schema: str) -> DataFrame:
+    fields = [x.split() for x in schema.split(", ")]
+    kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(int(pdf["scene"].iloc[0]), *f(_program(pdf)))], columns=columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [(key, *f(key, rows)) for key, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], kinds[k]) for i, (_, k) in enumerate(fields)], [n for n, _ in fields])
 
-    commands = A.commands(spark, sf_dir).select("scene", "seq", "material", "ox", "oy", "oz", "sx", "sy", "sz")
-    return commands.groupBy("scene").applyInPandas(run, schema)
+    return gathered.mapInArrow(run, schema)
+
+
+def _per_scene(spark: SparkSession, sf_dir: str, f: Callable[[P.Program], tuple], schema: str) -> DataFrame:
+    rows = _gathered(A.commands(spark, sf_dir), "scene", ["seq", "material", "ox", "oy", "oz", "sx", "sy", "sz"])
+    return _mapped(rows, lambda _, r: f(_program(r)), schema)
 
 
 def _rooted(name: str, there_and_back: Callable[[P.Program], P.Scene]) -> None:
@@ -92,30 +104,29 @@ def _(spark, d):
     """The codecs' real bytes, where residual_costs has only their lengths."""
     names = ["sparse", "runs", "boxes", "layers", "xor", "groups"]
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted((int(i), int(k), int(m), int(x)) for i, k, m, x in zip(pdf["id"], pdf["kind"], pdf["material"], pdf["index"]))
-        palette = {m: x for _, k, m, x in rows if k != 1}
+    def one(_: int, rows: list[dict]) -> tuple:
+        palette = {r["material"]: r["index"] for r in rows if r["kind"] != 1}
         listed = [-1] * (max(palette.values(), default=0) + 1)
         for m, x in palette.items():
             listed[x] = m
-        found = P.residuals(DIMS, listed, [(i, k, m) for i, k, m, _ in rows])
-        return pd.DataFrame([(int(pdf["scene"].iloc[0]), len(rows), *map(len, found))], columns=["scene", "patches", *names])
+        return len(rows), *map(len, P.residuals(DIMS, listed, [(r["id"], r["kind"], r["material"]) for r in rows]))
 
-    patches = catalog.indexed(catalog.pairs(spark, d)).select("scene", "id", "kind", "material", "index")
-    return patches.groupBy("scene").applyInPandas(one, "scene long, patches long, " + ", ".join(f"{n} long" for n in names))
+    patches = _gathered(catalog.indexed(catalog.pairs(spark, d)), "scene", ["id", "kind", "material", "index"])
+    return _mapped(patches, one, "scene long, patches long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terrain accounts as files would hold them."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(set(map(int, pdf["id"])))
-        rows = b"".join((i % 16 | (i // 16 % 16) << 4 | (i // 256) << 8).to_bytes(3, "little") for i in ids)
+    def one(_: str, rows: list[dict]) -> tuple:
+        ids = sorted({r["id"] for r in rows})
+        body = b"".join((i % 16 | (i // 16 % 16) << 4 | (i // 256) << 8).to_bytes(3, "little") for i in ids)
         capacity = 1 << max(len(ids) - 1, 0).bit_length()
-        head = K.ACCOUNT_MAGIC.encode() + b"\1\0" + len(ids).to_bytes(2, "little") + capacity.to_bytes(2, "little") + int(pdf["min_y"].iloc[0]).to_bytes(2, "little", signed=True) + bytes(4)
-        return pd.DataFrame([(str(pdf["scene"].iloc[0]), head + rows.ljust(3 * capacity, b"\0"))], columns=["asset", "content"])
+        head = K.ACCOUNT_MAGIC.encode() + b"\1\0" + len(ids).to_bytes(2, "little") + capacity.to_bytes(2, "little") + rows[0]["min_y"].to_bytes(2, "little", signed=True) + bytes(4)
+        return (head + body.ljust(3 * capacity, b"\0"),)
 
-    return A.terrain(spark, sf_dir).groupBy("scene").applyInPandas(one, "asset string, content binary")
+    rows = _gathered(A.terrain(spark, sf_dir).withColumn("asset", F.col("scene").cast("string")), "asset", ["id", "min_y"])
+    return _mapped(rows, one, "asset string, content binary")
 
 
 @query("scan_accounts", _TERRAIN)
@@ -127,12 +138,11 @@ def _(spark, d):
 def _terrain(name: str, there_and_back: Callable[[int, set[int]], tuple[int, set[int]]]) -> None:
     @query(name, _TERRAIN)
     def _(spark, d):
-        def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            min_y, cells = there_and_back(int(pdf["min_y"].iloc[0]), set(map(int, pdf["id"])))
-            root = P.semantic_root("terrain_delta", C.terrain_canonical(min_y, cells))
-            return pd.DataFrame([(int(pdf["scene"].iloc[0]), len(cells), root)], columns=["scene", "deletions", "root"])
+        def one(_: int, rows: list[dict]) -> tuple:
+            min_y, cells = there_and_back(rows[0]["min_y"], {r["id"] for r in rows})
+            return len(cells), P.semantic_root("terrain_delta", C.terrain_canonical(min_y, cells))
 
-        return A.terrain(spark, d).select("scene", "id", "min_y").groupBy("scene").applyInPandas(one, "scene long, deletions long, root string")
+        return _mapped(_gathered(A.terrain(spark, d), "scene", ["id", "min_y"]), one, "scene long, deletions long, root string")
 
 
 def _through(data: bytes) -> tuple[int, set[int]]:
@@ -171,13 +181,11 @@ def _(spark, d):
 def _(spark, d):
     """Cells through the run-length command of the machine."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        cells, _ = C.run_forge([{"op": "rle", "cells": set(map(int, pdf["cell"]))}], [])
-        ids = sorted(cells)
-        body = wire.varint(len(ids)) + b"".join(map(wire.varint, wire.gaps(ids)))
-        return pd.DataFrame([(int(pdf["component"].iloc[0]), len(ids), P.semantic_root("forged_item", body))], columns=["component", "cells", "root"])
+    def one(_: int, rows: list[dict]) -> tuple:
+        ids = sorted(C.run_forge([{"op": "rle", "cells": {r["cell"] for r in rows}}], [])[0])
+        return len(ids), P.semantic_root("forged_item", wire.varint(len(ids)) + b"".join(map(wire.varint, wire.gaps(ids))))
 
-    return A.forge(spark, d).select("component", "cell").groupBy("component").applyInPandas(one, "component long, cells long, root string")
+    return _mapped(_gathered(A.forge(spark, d), "component", ["cell"]), one, "component long, cells long, root string")
 
 
 def _varied(f: Callable[[P.Program, ChaCha8], P.Program]):
@@ -203,7 +211,7 @@ def _(spark, d):
     """One generation of four islands over the scene with the most commands."""
     commands = A.commands(spark, d)
     scene = commands.groupBy("scene").count().orderBy(F.desc("count"), "scene").first()["scene"]
-    program = _program(commands.filter(F.col("scene") == scene).toPandas())
+    program = _program([r.asDict() for r in commands.filter(F.col("scene") == scene).orderBy("seq").collect()])
     target, config = P.execute(program), search.SearchConfig()
     population = search.initial(spark, target, program, config)
     return search.step(population, population, target, config, 1).select("island", "slot", "bytes", "units", F.sha2("encoding", 256).alias("encoding"), "fresh")
