@@ -115,25 +115,32 @@ def sketched(docs: DataFrame, doc_id: str, text: str, rules: NearRules) -> DataF
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(judge, f"doc_id {kind}, n_shingles long, node binary, bands array<long>")
 
 
-def _sets(docs: DataFrame, doc_id: str, text: str, rules: NearRules) -> DataFrame:
-    """(doc_id, node, keys): whole shingle sets of all texts that have one."""
-    kind = docs.schema[doc_id].dataType.simpleString()
+def _sets(docs: DataFrame, needed: DataFrame, doc_id: str, text: str, rules: NearRules) -> DataFrame:
+    """(node, keys): the whole shingle sets of the needed classes, (node, first_id, n), each from its row of least id.
+
+    The join on the id comes first and filters the scan, so that only needed texts are shuffled;
+    classes without an id are found among the rows without one.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    wanted = needed.filter("n >= 1").select(F.col("node").alias("need"), "first_id")
+    named = rows.join(wanted, F.col("doc_id") == F.col("first_id")).select("text", "need")
+    nameless = rows.filter("doc_id is null").select("text", F.lit(None).cast("binary").alias("need"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(shingle_sets(batch.column(1), rules))
-            some = np.array([len(k) > 0 for k in sets])
-            at = np.concatenate(([0], np.cumsum([len(k) for k in sets if len(k)]))).astype(np.int32)
-            flat = np.concatenate([k for k in sets if len(k)] or [np.zeros(0, U64)]).view(np.int64)
-            ids = batch.column(0).filter(pa.array(some))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([class_key(k) for k in sets if len(k)], pa.binary()), pa.ListArray.from_arrays(at, flat)], ["doc_id", "node", "keys"])
+            found = [(class_key(k), k, need) for k, need in zip(shingle_sets(batch.column(0), rules), batch.column(1).to_pylist()) if len(k)]
+            kept = [(node, k) for node, k, need in found if need is None or need == node]
+            at = np.concatenate(([0], np.cumsum([len(k) for _, k in kept]))).astype(np.int32)
+            flat = np.concatenate([k for _, k in kept] or [np.zeros(0, U64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in kept], pa.binary()), pa.ListArray.from_arrays(at, flat)], ["node", "keys"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(judge, f"doc_id {kind}, node binary, keys array<long>")
+    made = "node binary, keys array<long>"
+    return named.mapInArrow(judge, made).union(nameless.mapInArrow(judge, made).join(needed.filter("first_id is null").select("node"), "node", "left_semi"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough. sets: one row a node."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("keys").alias("a_keys")), "a")
+    left = pairs.filter("a < b").join(sets.select(F.col("node").alias("a"), F.col("keys").alias("a_keys")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("keys").alias("b_keys")), "b")
     shared = F.size(F.array_intersect("a_keys", "b_keys"))
     both = both.select("a", "b", shared.alias("shared"), (F.size("a_keys") + F.size("b_keys")).alias("total"))
@@ -178,8 +185,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rul
     base = cut(sketched(docs, doc_id, text, rules), "sketch")
     classes = base.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"))
     # One row of each class carries its bands: that of its least id.
-    carried = base.filter("node is not null").select("node", "doc_id", "bands").join(classes.select("node", "first_id", "n"), "node").filter("doc_id <=> first_id")
-    bands = carried.select("node", "n", F.explode("bands").alias("band")).distinct()
+    carried = base.filter("node is not null").select("node", "doc_id", "bands").join(classes.select("node", "first_id", "n"), "node").filter("doc_id <=> first_id").dropDuplicates(["node"])
+    bands = carried.select("node", "n", F.explode("bands").alias("band"))
     crowded = bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     bands = cut(bands.join(crowded, "band"), "bands")
     central = bands.groupBy("node", "n").agg(F.sum("members").alias("weight"))
@@ -191,10 +198,9 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rul
     )
     similar = F.expr(f"100 * low >= {rules.percent} * high")
     tried = cut(tried.filter(similar).select("a", "b").distinct(), "pairs")
-    needed = bands.select("node").distinct().join(classes.select("node", "first_id"), "node")
-    # first_id is null only for classes whose ids are all null.
-    sets = _sets(docs, doc_id, text, rules).join(needed.withColumnRenamed("node", "need"), F.expr("node = need and doc_id <=> first_id")).select("node", "keys")
-    sets = cut(sets.dropDuplicates(["node"]), "sets")
+    paired = tried.select(F.col("a").alias("node")).union(tried.select("b")).union(bands.filter("members > 2").select("node")).distinct()
+    needed = cut(paired.join(classes, "node"), "needed")
+    sets = cut(_sets(docs, needed, doc_id, text, rules).dropDuplicates(["node"]), "sets")
     links = cut(_verified(tried, sets, rules.percent), "links")
     labels = cut(components(links), "labels")
     placed = bands.filter("members > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

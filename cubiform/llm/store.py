@@ -24,8 +24,13 @@ _local: dict[str, str] = {}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches by bytes, so that very long texts don't pile up in a Python worker."""
+    """Session settings: Arrow batches bounded by bytes, so that very long texts don't pile up in a
+
+    Python worker; and run-time filters on scans of any size, so that a join with a selective side
+    drops rows before they are shuffled.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1MB")
     return spark
 
 
