@@ -200,7 +200,10 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rul
     tried = cut(tried.filter(similar).select("a", "b").distinct(), "pairs")
     paired = tried.select(F.col("a").alias("node")).union(tried.select("b")).union(bands.filter("members > 2").select("node")).distinct()
     needed = cut(paired.join(classes, "node"), "needed")
-    sets = cut(_sets(docs, needed, doc_id, text, rules).dropDuplicates(["node"]), "sets")
+    sets = _sets(docs, needed, doc_id, text, rules)
+    # One row a class; only rows that repeat id and text, or have no id, give more.
+    again = base.filter("node is not null").groupBy("node", "doc_id").count().filter("count > 1 or doc_id is null")
+    sets = cut(sets if again.isEmpty() else sets.dropDuplicates(["node"]), "sets")
     links = cut(_verified(tried, sets, rules.percent), "links")
     labels = cut(components(links), "labels")
     placed = bands.filter("members > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
