@@ -93,7 +93,7 @@ def _digested(docs: DataFrame, kind: str, rules: ChunkRules) -> DataFrame:
                 rows = pa.array(doc[fresh])
                 yield pa.RecordBatch.from_arrays([_found(batch, "id").take(rows), _found(batch, "row").take(rows), pa.array(digests[fresh].view(np.int64)), pa.array(times)], ["id", "row", "digest", "times"])
 
-    return docs.select("id", "row", "text").mapInArrow(read, f"id {kind}, row long, digest long, times long")
+    return arrow_map(docs.select("id", "row", "text"), read, f"id {kind}, row long, digest long, times long")
 
 
 FACTS = "n_bytes long, n_chunks long, n_shared long, n_removed long, n_spans long, kept_sha256 string, kept_text string"

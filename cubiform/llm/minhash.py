@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import textcore as tc
 from .components import components
-from .store import cut, prepare, ref
+from .store import arrow_map, cut, prepare, ref
 
 U64 = np.uint64
 
@@ -112,7 +112,7 @@ def sketched(docs: DataFrame, doc_id: str, text: str, rules: NearRules) -> DataF
             flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(at, flat)], ["doc_id", "n_shingles", "node", "bands"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(judge, f"doc_id {kind}, n_shingles long, node binary, bands array<long>")
+    return arrow_map(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), judge, f"doc_id {kind}, n_shingles long, node binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, needed: DataFrame, doc_id: str, text: str, rules: NearRules) -> DataFrame:
@@ -135,7 +135,7 @@ def _sets(docs: DataFrame, needed: DataFrame, doc_id: str, text: str, rules: Nea
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in kept], pa.binary()), pa.ListArray.from_arrays(at, flat)], ["node", "keys"])
 
     made = "node binary, keys array<long>"
-    return named.mapInArrow(judge, made).union(nameless.mapInArrow(judge, made).join(needed.filter("first_id is null").select("node"), "node", "left_semi"))
+    return arrow_map(named, judge, made).union(arrow_map(nameless, judge, made).join(needed.filter("first_id is null").select("node"), "node", "left_semi"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

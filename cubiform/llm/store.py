@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
 import tempfile
 import uuid
@@ -63,12 +65,24 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Gives memory that earlier tasks of a reused worker left behind back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def arrow_map(df: DataFrame, function: Callable, schema: StructType | str) -> DataFrame:
     """mapInArrow for frames with any column names; function sees the names that df has."""
     names = df.columns
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return function(batch.rename_columns(names) for batch in batches)
+        release()
+        yield from function(batch.rename_columns(names) for batch in batches)
+        release()
 
     return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(named, schema)
 

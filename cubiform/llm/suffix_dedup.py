@@ -58,7 +58,7 @@ def _anchored(docs: DataFrame, rules: RepeatRules) -> DataFrame:
                 doc = pa.array(first + np.searchsorted(at, low, "right") - 1)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), pa.array(key.view(np.int64)), pa.array(context.view(np.int64))], ["row1", "row2", "key", "context"])
 
-    return docs.select("row1", "row2", "text").mapInArrow(read, "row1 long, row2 long, key long, context long")
+    return arrow_map(docs.select("row1", "row2", "text"), read, "row1 long, row2 long, key long, context long")
 
 
 def _extracted(docs: DataFrame, rules: RepeatRules) -> DataFrame:
@@ -90,7 +90,7 @@ def _extracted(docs: DataFrame, rules: RepeatRules) -> DataFrame:
                     ["row1", "row2", "key", "low", "body", "strings"],
                 )
 
-    return docs.mapInArrow(read, "row1 long, row2 long, key long, low int, body binary, strings array<long>")
+    return arrow_map(docs, read, "row1 long, row2 long, key long, low int, body binary, strings array<long>")
 
 
 def ranges(marks: np.ndarray) -> list[tuple[int, int]]:
@@ -128,7 +128,7 @@ def _compared(pieces: DataFrame, rules: RepeatRules) -> DataFrame:
         if held:
             yield flush()
 
-    return pieces.mapInArrow(read, "row1 long, row2 long, first int, end int")
+    return arrow_map(pieces, read, "row1 long, row2 long, first int, end int")
 
 
 FACTS = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<first:long,end:long>>, kept_text string"

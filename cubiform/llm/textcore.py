@@ -13,7 +13,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Most text bytes that one round of array work takes, unless a single document is longer.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def _class(*ranges: tuple[int, int]) -> np.ndarray:
