@@ -335,6 +335,11 @@ def _(spark, d):
     return state.last_writer(laid(spark, d)).filter("scene % 10 = 0")
 
 
+@query("lww_state_whole", sql("scene id material", "SELECT * FROM voxels", f"{LAID}, {state_sql('voxels', 'laid')}"))
+def _(spark, d):
+    return state.last_writer(laid(spark, d))
+
+
 _AT_CLEAR = f"SELECT scene, max(ord) AS clear_at FROM laid WHERE material = 0 GROUP BY scene"
 
 
