@@ -38,13 +38,20 @@ class ChunkRules:
     seed: int = 29
 
 
-def gear(data: np.ndarray, rules: ChunkRules) -> np.ndarray:
-    """At each byte the gear hash, sum of value(byte k places back) << k, over 2**window_steps bytes."""
+def gear(data: np.ndarray, offsets: np.ndarray, rules: ChunkRules) -> np.ndarray:
+    """At each byte the gear hash, sum of value(byte k places back) << k, over 2**window_steps bytes of its document."""
     values = tc.mix((np.arange(256, dtype=U64) + U64(rules.seed)) * U64(0x9E3779B97F4A7C15))[data]
+    begins = offsets[:-1][np.diff(offsets) > 0]
+    sizes = np.diff(np.append(begins, len(data)))
     for step in range(rules.window_steps):
         reach = 1 << step
         ahead = values.copy()
-        ahead[reach:] += values[:-reach] << U64(reach) if len(values) > reach else U64(0)
+        if len(values) > reach:
+            ahead[reach:] += values[:-reach] << U64(reach)
+        # The first bytes of a document have nothing behind them.
+        for k in range(reach):
+            first = begins[sizes > k] + k
+            ahead[first] = values[first]
         values = ahead
     return tc.mix(values)
 
@@ -53,7 +60,7 @@ def chunks(data: np.ndarray, offsets: np.ndarray, rules: ChunkRules) -> tuple[np
     """(starts, digests, where each document's chunks begin): chunks cover all bytes of a slice."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(len(offsets), np.int64)
-    hashes, reach = gear(data, rules), rules.reach
+    hashes, reach = gear(data, offsets, rules), rules.reach
     wide = np.full(len(data) + 2 * reach, np.iinfo(np.uint64).max, U64)
     wide[reach:-reach] = hashes
     least = window_least(wide, 2 * reach + 1)
