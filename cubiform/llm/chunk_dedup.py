@@ -29,7 +29,7 @@ U64 = np.uint64
 class ChunkRules:
     """reach: a cut's hash is least among so many neighbours on either side; chunks have 2 * reach bytes or so.
 
-    least_run: bytes of neighbouring shared chunks that make a repeat; less is left alone.
+    least_run: bytes of neighbouring shared chunks that make a repeat; less is left alone, unless it is a whole document.
     """
 
     reach: int = 24
@@ -129,13 +129,14 @@ def _applied(docs: DataFrame, keep: list[str], rules: ChunkRules, texts: bool) -
                         some, sizes = digests[lo:hi], np.diff(bounds[lo : hi + 1])
                         elsewhere = np.isin(some, other)
                         repeat = elsewhere | np.isin(some, own)
-                        # Runs of shared chunks that are too short are left alone.
+                        _, earliest = np.unique(some, return_index=True)
+                        # Runs of shared chunks that are too short are left alone, unless they are all of a document.
+                        whole = elsewhere.all() or len(earliest) == len(some) and not elsewhere.any()
                         edges = np.flatnonzero(np.diff(np.concatenate(([0], repeat.view(np.int8), [0]))))
                         total = np.concatenate(([0], np.cumsum(sizes)))
                         for x, y in zip(edges[::2], edges[1::2]):
-                            if total[y] - total[x] < rules.least_run:
+                            if total[y] - total[x] < rules.least_run and not (whole and y - x == len(some)):
                                 repeat[x:y] = False
-                        _, earliest = np.unique(some, return_index=True)
                         again = np.ones(len(some), bool)
                         again[earliest] = False
                         drop = repeat & (elsewhere | again)
