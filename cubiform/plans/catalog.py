@@ -696,6 +696,18 @@ def _(spark, d):
     return quads.bare_cells(A.quads(spark, d).filter("axis = 2"), A.forge(spark, d))
 
 
+_FACES = """SELECT *, CASE axis WHEN 0 THEN {p} ELSE u END AS x, CASE axis WHEN 0 THEN u WHEN 1 THEN {p} ELSE v END AS y, CASE axis WHEN 2 THEN {p} ELSE v END AS z
+ FROM (SELECT *, u0 + c % (u1 - u0) AS u, v0 + c // (u1 - u0) AS v FROM (SELECT *, unnest(range(0, (u1 - u0) * (v1 - v0))) AS c FROM quads) AS e) AS f"""
+_HELD = "EXISTS (SELECT 1 FROM forge WHERE forge.component = owner AND x BETWEEN 0 AND 13 AND y BETWEEN 0 AND 9 AND z BETWEEN 0 AND 13 AND forge.cell = x + 14 * (y + 10 * z))"
+
+
+@query("surface_faults", sql("owner quad bare internal", f"""SELECT owner, quad, count(*) FILTER (WHERE NOT held) AS bare, count(*) FILTER (WHERE held AND hidden) AS internal FROM
+ (SELECT a.owner, a.quad, held, hidden FROM a JOIN b ON a.quad = b.quad AND a.c = b.c) AS t GROUP BY owner, quad HAVING bare > 0 OR internal > 0""",
+ f"{QUADS}, {FORGE}, a AS (SELECT owner, quad, c, {_HELD} AS held FROM ({_FACES.format(p='(plane - side)')}) AS g), b AS (SELECT quad, c, {_HELD} AS hidden FROM ({_FACES.format(p='(plane - 1 + side)')}) AS g)"))
+def _(spark, d):
+    return quads.faults(A.quads(spark, d), A.forge(spark, d))
+
+
 # ---- baselines -----------------------------------------------------------------------------
 
 _T_ISLE = _ISLE.format(keys="scene", rows="(SELECT DISTINCT scene, id FROM terrain) AS u")
