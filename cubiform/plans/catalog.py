@@ -160,6 +160,18 @@ def _(spark, d):
     return _texts(spark, d).select("doc_id", S.detect_format("text").alias("format"))
 
 
+_WHOLE = "SELECT doc_id, CASE " + " ".join(f"WHEN doc_id % {len(_PREFIXES) + 1} = {i} THEN '{t}' || text" for i, t in enumerate(_PREFIXES)) + " ELSE text END AS text FROM documents"
+
+
+@query("detect_format_whole", sql("doc_id format:s bytes", f"SELECT doc_id, CASE {_CASES} ELSE 'unknown' END AS format, bytes FROM (SELECT doc_id, ltrim(text, chr(9) || chr(10) || chr(12) || chr(13) || ' ') AS t, octet_length(encode(text)) AS bytes FROM texts) AS trimmed", f"texts AS ({_WHOLE})"))
+def _(spark, d):
+    text = F.col("text")
+    for i, t in enumerate(_PREFIXES):
+        text = F.when(F.col("doc_id") % (len(_PREFIXES) + 1) == i, F.concat(F.lit(t), F.col("text"))).otherwise(text)
+    whole = A.read(spark, d, "documents").select("doc_id", text.alias("text"))
+    return whole.select("doc_id", S.detect_format("text").alias("format"), F.octet_length("text").alias("bytes"))
+
+
 @query("trim_prefix", sql("doc_id trimmed", "SELECT doc_id, length(trim(' ' || text || chr(10), chr(9) || chr(10) || chr(12) || chr(13) || ' ')) AS trimmed FROM documents"))
 def _(spark, d):
     return A.read(spark, d, "documents").select("doc_id", F.length(S.trim_ascii(F.concat(F.lit(" "), "text", F.lit("\n")))).alias("trimmed"))
@@ -214,6 +226,12 @@ def _(spark, d):
     return A.read(spark, d, "documents").select("doc_id", url.alias("url"), F.octet_length(S.unbase64url(url)).alias("bytes"))
 
 
+@query("base64_whole", sql("doc_id url:s bytes", """SELECT doc_id, replace(replace(rtrim(base64(encode(text)), '='), '+', '-'), '/', '_') AS url, octet_length(encode(text)) AS bytes FROM documents"""))
+def _(spark, d):
+    url = S.base64url(F.encode("text", "UTF-8"))
+    return A.read(spark, d, "documents").select("doc_id", url.alias("url"), F.octet_length(S.unbase64url(url)).alias("bytes"))
+
+
 @query("sha_domain", sql("doc_id hash:s", f"SELECT doc_id, {root_sql(K.ENCODING_DOMAIN, repr('0202'), 'hex(encode(text))')} AS hash FROM documents"))
 def _(spark, d):
     return A.read(spark, d, "documents").select("doc_id", S.encoding_hash("building", K.LEGACY, F.hex(F.encode("text", "UTF-8"))).alias("hash"))

@@ -1,5 +1,6 @@
 """Queries over all rows, against brute force."""
 
+import base64
 import random
 
 from cubiform.operators import quads
@@ -44,3 +45,11 @@ def test_faults_of_quads_on_all_axes_and_sides(spark):
     df = spark.createDataFrame(rows, "owner long, quad long, axis long, side long, plane long, u0 long, u1 long, v0 long, v1 long")
     got = quads.faults(df, spark.createDataFrame(sorted(cells), "component long, cell long")).collect()
     assert sorted(map(tuple, got)) == sorted(want) and any(b == 0 for *_, b, _ in want) and len(want) < 300
+
+
+def test_whole_texts_are_encoded_and_detected(spark):
+    texts = {r.doc_id: r.text for r in adapters.read(spark, SF, "documents").collect()}
+    got = {r.doc_id: (r.url, r.bytes) for r in catalog.QUERIES["base64_whole"](spark, SF).collect()}
+    assert got == {i: (base64.urlsafe_b64encode(t.encode()).decode().rstrip("="), len(t.encode())) for i, t in texts.items()}
+    sizes = {r.doc_id: r.bytes for r in catalog.QUERIES["detect_format_whole"](spark, SF).collect()}
+    assert sizes.keys() == texts.keys() and all(sizes[i] >= len(t.encode()) for i, t in texts.items())
