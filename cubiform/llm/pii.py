@@ -145,7 +145,7 @@ def listed(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text", rules: PiiRules = PiiRules()) -> DataFrame:
-    """Replaces each span in text by [KIND]; where spans overlap, the one that starts first counts.
+    """Replaces each span in text by [KIND]; where spans overlap, the later one starts at the earlier one's stop.
 
     A null text stays null; all other columns stay.
     """
@@ -155,8 +155,8 @@ def redact(docs: DataFrame, text: str = "text", rules: PiiRules = PiiRules()) ->
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(a: Column, s: Column) -> Column:
-        more = F.concat(a["parts"], F.array(F.substr(ref(text), a["at"] + 1, s["start"] - a["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        return F.when(s["start"] >= a["at"], F.struct(s["stop"].alias("at"), more.alias("parts"))).otherwise(F.struct(a["at"].alias("at"), a["parts"].alias("parts")))
+        more = F.concat(a["parts"], F.array(F.substr(ref(text), a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0))), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
+        return F.when(s["stop"] > a["at"], F.struct(s["stop"].alias("at"), more.alias("parts"))).otherwise(F.struct(a["at"].alias("at"), a["parts"].alias("parts")))
 
     cuts = F.aggregate(ordered, state, step)
     clean = F.concat(F.array_join(cuts["parts"], ""), F.substr(ref(text), cuts["at"] + 1, F.lit(2**31 - 1) - cuts["at"]))
