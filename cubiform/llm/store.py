@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -47,14 +48,20 @@ class Shared:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a private temporary one where it names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A folder of this application in the one that spark.checkpoint.dir names.
+
+    Where none is named, a local master gets a temporary one; on a cluster that is an error, as
+    executors don't see each other's disks.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        _local[app] = tempfile.mkdtemp(prefix="cubiform-")
-    return _local[app]
+        return f"{named.rstrip('/')}/cubiform-{context.applicationId}"
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if context.applicationId not in _local:
+        _local[context.applicationId] = tempfile.mkdtemp(prefix="cubiform-")
+    return _local[context.applicationId]
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
@@ -62,7 +69,25 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._cut_path = path
+    return made
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Deletes written frames that nothing will read again, once all that was made of them is written, too."""
+    for df in cuts:
+        _delete(df.sparkSession, df._cut_path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all written frames of this application; results not yet written elsewhere can't be read any more."""
+    _delete(spark, shared_folder(spark))
 
 
 def release() -> None:
