@@ -23,12 +23,14 @@ BASE = {
     "access": re.compile(r"AKIA[A-Z0-9]+"),
     "hex": re.compile(r"[0-9a-f]{24,}"),
 }
-#: Parts that mean something only together, and the role of each.
+#: Parts that mean something only together, and the role of each. Runs are taken whole, however long.
 WEAK = {
-    "client": ("identifier", re.compile(r"\b(?ai:client_?id|account_?id|user(?:name)?|login)[\"']?\x20{0,8}[:=]\x20{0,8}[\"']?([A-Za-z0-9@._-]{3,64})")),
-    "opaque": ("secret", re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[^0-9\s]{0,63}[0-9])(?=[^A-Z\s]{0,63}[A-Z])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/=_-])")),
-    "endpoint": ("endpoint", re.compile(r"\b(?:https?|s3|postgres|mysql|redis|amqp|mongodb)://[A-Za-z0-9._-]{3,253}(?::[0-9]{1,5})?")),
+    "client": ("identifier", re.compile(r"\b(?ai:client_?id|account_?id|user(?:name)?|login)[\"']?\x20*+[:=]\x20*+[\"']?([A-Za-z0-9@._-]{3,})")),
+    "opaque": ("secret", re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{32,}+={0,2}+(?![A-Za-z0-9+/=_-])")),
+    "endpoint": ("endpoint", re.compile(r"\b(?:https?|s3|postgres|mysql|redis|amqp|mongodb)://[A-Za-z0-9._-]{3,}+(?::[0-9]+)?")),
 }
+#: What a weak part must hold besides its pattern.
+HOLDS = {"opaque": (re.compile("[0-9]"), re.compile("[A-Z]"))}
 ROLES = {"assign": "secret", "access": "identifier", "hex": "secret"}
 _key_hint = re.compile("[:=]")
 
@@ -73,7 +75,7 @@ def _near(places: list[tuple[int, int]], start: int, stop: int, reach: int, wide
 
 def linked_spans(text: str, base: list[tuple[int, str, int]], rules: LinkRules = LinkRules()) -> list[tuple[int, str, int]]:
     """Weak parts that co-occur with their complements: (start, kind, stop), by start."""
-    weak = [(m.start(), kind, m.end()) for kind, (_, pattern) in WEAK.items() for m in pattern.finditer(text)]
+    weak = [(m.start(), kind, m.end()) for kind, (_, pattern) in WEAK.items() for m in pattern.finditer(text) if all(h.search(m[0]) for h in HOLDS.get(kind, ()))]
     weak = [w for w in weak if not any(b[0] < w[2] and w[0] < b[2] for b in base)] if len(base) < 8 else _apart(weak, base)
     if not weak:
         return []
@@ -114,8 +116,9 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, rul
     """The columns in keep (all when None) with spans: an array of (kind, start, stop, linked).
 
     Ordered by start, then kind; places count code points, stop is exclusive; linked marks the spans
-    that the linking adds. A null text counts as empty and has no spans; repeated rows are scanned one
-    by one; an input column named like the output gives way to it; an empty table gives an empty one.
+    that the linking adds. A null text counts as empty and has no spans; a very long text is scanned
+    whole, its parts joined by place; repeated rows are scanned one by one; an input column named like
+    the output gives way to it; an empty table gives an empty one.
     """
     prepare(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c != spans]
