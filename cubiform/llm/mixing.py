@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import cut
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -23,9 +25,10 @@ class Mix:
     max_repeat: int = 3
     block_tokens: int = 16
     seed: int = 17
-    #: Words that a shard should hold; a source has at most max_shards of them.
+    #: Words that a shard should hold.
     shard_tokens: int = 20_000
-    max_shards: int = 4096
+    #: Hexadecimal digits of a document's seeded hash that place it in a shard.
+    cell_digits: int = 7
 
 
 def targets(sizes: DataFrame, mix: Mix) -> DataFrame:
@@ -95,12 +98,15 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     rows = docs.select(
         F.col(doc_id).alias("_id"), *(F.col(f"`{c}`").alias(f"_keep_{c}") for c in keep),
         F.col(source).isNull().alias("absent"), F.coalesce(F.col(source), F.lit("")).alias("name"), size.alias("_size"), digest.alias("_order"),
-    ).withColumn("_cell", F.conv(F.substring("_order", 1, 3), 16, 10).cast("int"))
+    )
+    # Words are counted once; what follows reads a few numbers a document.
+    rows = cut(rows.withColumn("_cell", F.conv(F.substring("_order", 1, mix.cell_digits), 16, 10).cast("long")), "sizes")
     cells = rows.groupBy("absent", "name", "_cell").agg(F.sum("_size").alias("_words"))
     per_source = targets(cells.groupBy("absent", "name").agg(F.sum("_words").alias("source_size")), mix)
     dealt = apportion(per_source, [], ["place"], "target", F.round(F.sum("target").over(Window.partitionBy()) / mix.block_tokens))
-    dealt = dealt.withColumn("_shards", F.least(F.greatest(F.ceil(F.col("source_size") / mix.shard_tokens), F.lit(1)), F.lit(mix.max_shards)))
-    shard = F.floor(F.col("_cell") * F.col("_shards") / 4096).cast("int")
+    every = 16**mix.cell_digits
+    dealt = dealt.withColumn("_shards", F.greatest(F.ceil(F.col("source_size") / mix.shard_tokens), F.lit(1)).cast("long"))
+    shard = F.expr(f"(_cell * _shards) div {every}L")
     facts = dealt.select("absent", "name", "source_size", "target", "seats", "_shards")
     shards = cells.join(facts, ["absent", "name"]).groupBy("absent", "name", shard.alias("_shard")).agg(
         F.sum("_words").alias("_shard_words"), F.first("seats").alias("_source_seats")
