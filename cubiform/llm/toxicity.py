@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .store import arrow_map, output_schema, prepare
+from .store import Shared, arrow_map, cut, output_schema, prepare
 
 
 @dataclass(frozen=True)
@@ -81,26 +81,21 @@ class Ordinal:
 
 
 def fit(row: np.ndarray, slot: np.ndarray, share: np.ndarray, grade: np.ndarray, rules: ToxicityRules) -> Ordinal:
-    """Fits on (row, slot, share) entries; full-batch AdaGrad on the cumulative-link likelihood.
+    """Fits on (row, slot, share) entries of the telling features; full-batch AdaGrad on the cumulative-link likelihood.
 
     Toxic rows and others weigh evenly. Without rows, or with only one of the two, all weights are 0
     and every text is below the limit.
     """
     levels = max(int(grade.max(initial=0)), 1)
     model = Ordinal(np.zeros(1 << rules.bits), np.arange(levels) + 2.0)
-    if len(np.unique(grade > 0)) < 2:
-        return model
-    toxic, rate = grade > 0, float((grade > 0).mean())
-    every = np.bincount(slot, minlength=1 << rules.bits)
-    with_it = np.bincount(slot[toxic[row]], minlength=1 << rules.bits)
-    z = np.abs(with_it - every * rate) / np.sqrt(every * rate * (1 - rate) + 1e-9)
-    used = np.flatnonzero((z >= rules.least_z) & (every > 0))
-    if not len(used):
+    toxic = grade > 0
+    used = np.unique(slot)
+    if len(np.unique(toxic)) < 2 or not len(used):
         return model
+    rate = float(toxic.mean())
     place = np.full(1 << rules.bits, -1)
     place[used] = np.arange(len(used))
-    known = place[slot] >= 0
-    row, share, column = row[known], share[known], place[slot[known]]
+    column = place[slot]
     above = (grade[:, None] > np.arange(levels)[None, :]).astype(float)
     even = np.where(toxic, 0.5 / rate, 0.5 / (1 - rate))[:, None] / len(grade)
     w, w_total = np.zeros(len(used)), np.full(len(used), 1e-8)
@@ -118,16 +113,37 @@ def fit(row: np.ndarray, slot: np.ndarray, share: np.ndarray, grade: np.ndarray,
 
 
 def fit_table(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", rules: ToxicityRules = ToxicityRules()) -> Ordinal:
-    """Fits on labelled documents, read on the executors; the driver gets distinct slots only.
+    """Fits on labelled documents, read and counted on the executors; the driver gets the telling features only.
 
-    Rows with a null id, text or label teach nothing; a repeated label row teaches again.
+    Those are what the labels explain, a few of the 2**bits there are; each of the max_rows documents
+    has an entry for each at most. Rows with a null id, text or label teach nothing; a repeated label
+    row teaches again; very long texts are read whole.
     """
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
     known = labels.select(F.col(doc_id).alias("_id"), F.col("toxic").cast("int").alias("toxic"), F.col("quality").cast("int").alias("quality")).dropna()
     order = F.xxhash64(F.lit(rules.seed), "_id"), F.col("_id"), F.col("toxic"), F.col("quality")
     half = rules.max_rows // 2
     chosen = known.filter("toxic > 0").orderBy(*order).limit(half).unionByName(known.filter("toxic <= 0").orderBy(*order).limit(half))
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id").filter("_text is not null")
+    grade = F.when(F.col("toxic") > 0, 1 + (F.col("quality") <= 0).cast("int")).otherwise(0)
+    table = cut(_featured(rows.select("_text", F.col("_id").cast("string").alias("key"), grade.alias("grade")), rules), "features")
+    count, rate = table.agg(F.count(F.lit(1)), F.avg((F.col("grade") > 0).cast("double"))).first()
+    if not count:
+        return fit(*(np.zeros(0, np.int64),) * 2, np.zeros(0), np.zeros(0, np.int64), rules)
+    counts = _counted(table).groupBy("slot").agg(F.sum("every").alias("every"), F.sum("toxic").alias("toxic"))
+    z = F.abs(F.col("toxic") - F.col("every") * rate) / F.sqrt(F.col("every") * rate * (1 - rate) + 1e-9)
+    used = np.sort(np.array([r.slot for r in counts.filter(z >= rules.least_z).select("slot").collect()], np.int32))
+    found = _selected(table, Shared(spark, used)).toArrow().sort_by([("key", "ascending"), ("grade", "ascending")]).combine_chunks()  # one order, so that sums agree from run to run
+    row = np.repeat(np.arange(found.num_rows), np.asarray(pa.compute.list_value_length(found.column("slots"))))
+    flat = lambda name: found.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return fit(row, flat("slots").astype(np.int64), flat("shares").astype(float), found.column("grade").to_numpy(), rules)
+
+
+_FEATURES = "key string, grade int, slots array<int>, shares array<float>"
+
+
+def _featured(rows: DataFrame, rules: ToxicityRules) -> DataFrame:
+    """(key, grade, slots, shares) of (text, key, grade): each text's different features."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,16 +156,48 @@ def fit_table(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: st
                 shares = weigh(counts, words[both >> rules.bits]).astype(np.float32)
                 both = (both & (1 << rules.bits) - 1).astype(np.int32)
                 found += [(both[a:b], shares[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-            at = np.concatenate(([0], np.cumsum([len(f) for f, _ in found]))).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(at, np.concatenate([*x, none])) for x, none in (([f for f, _ in found], np.zeros(0, np.int32)), ([v for _, v in found], np.zeros(0, np.float32)))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *lists], ["key", "grade", "slots", "shares"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *_listed(found)], ["key", "grade", "slots", "shares"])
 
-    grade = F.when(F.col("toxic") > 0, 1 + (F.col("quality") <= 0).cast("int")).otherwise(0)
-    table = rows.select("_text", F.col("_id").cast("string").alias("key"), grade.alias("grade")).mapInArrow(read, "key string, grade int, slots array<int>, shares array<float>")
-    table = table.toArrow().sort_by([("key", "ascending"), ("grade", "ascending")]).combine_chunks()  # one order, so that sums agree from run to run
-    row = np.repeat(np.arange(table.num_rows), np.asarray(pa.compute.list_value_length(table.column("slots"))))
-    flat = lambda name: table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return fit(row, flat("slots").astype(np.int64), flat("shares").astype(float), table.column("grade").to_numpy(), rules)
+    return arrow_map(rows, read, _FEATURES)
+
+
+def _listed(found: list[tuple[np.ndarray, np.ndarray]]) -> list[pa.ListArray]:
+    at = np.concatenate(([0], np.cumsum([len(f) for f, _ in found]))).astype(np.int32)
+    return [pa.ListArray.from_arrays(at, np.concatenate([*x, none])) for x, none in (([f for f, _ in found], np.zeros(0, np.int32)), ([v for _, v in found], np.zeros(0, np.float32)))]
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All entries, and the row of each."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), np.asarray(pa.compute.list_value_length(column)))
+
+
+def _counted(table: DataFrame) -> DataFrame:
+    """(slot, every, toxic): in how many texts of a batch a feature stands, and in how many toxic ones."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot, row = _lists(batch.column(1))
+            toxic = batch.column(0).to_numpy(zero_copy_only=False)[row] > 0
+            every, at = np.unique(slot, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(np.bincount(at, minlength=len(every))), pa.array(np.bincount(at[toxic], minlength=len(every)))], ["slot", "every", "toxic"])
+
+    return arrow_map(table.select("grade", "slots"), read, "slot int, every long, toxic long")
+
+
+def _selected(table: DataFrame, used: Shared) -> DataFrame:
+    """The same rows with those features alone."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = used.load()
+        for batch in batches:
+            slot, row = _lists(batch.column(2))
+            share, _ = _lists(batch.column(3))
+            kept = np.isin(slot, some)
+            at = np.concatenate(([0], np.cumsum(np.bincount(row[kept], minlength=len(batch))))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(at, pa.array(x[kept], t)) for x, t in ((slot, pa.int32()), (share, pa.float32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["key", "grade", "slots", "shares"])
+
+    return arrow_map(table, read, _FEATURES)
 
 
 def grade_texts(docs: DataFrame, model: Ordinal, text: str = "text", keep: list[str] | None = None, rules: ToxicityRules = ToxicityRules()) -> DataFrame:
