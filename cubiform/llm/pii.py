@@ -82,6 +82,26 @@ def confirmed(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
+#: Values of one block of a running total.
+BLOCK = 128
+
+
+def before(values: Column, combine, zero: int = 0) -> Column:
+    """At each place of an array of ints, all values in front of it, combined.
+
+    An array that grows by a value is copied each time, so totals run inside blocks first, then over
+    the blocks.
+    """
+    def running(some: Column) -> Column:
+        state = F.struct(F.lit(zero).alias("at"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(some, state, lambda a, v: F.struct(combine(a["at"], v).cast("int").alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda b: running(F.slice(values, b * BLOCK + 1, F.lit(BLOCK))))
+    whole = F.struct(blocks.alias("blocks"), running(F.transform(blocks, lambda b: b["at"]))["all"].alias("first"))
+    long = F.transform(F.array(whole), lambda w: F.flatten(F.transform(w["blocks"], lambda b, i: F.transform(b["all"], lambda v: combine(F.get(w["first"], i), v).cast("int")))))
+    return F.when(F.size(values) > BLOCK, F.get(long, F.lit(0))).otherwise(running(values)["all"])
+
+
 def _filtered(kind: str, spans: Column) -> Column:
     return F.filter(spans, lambda s: confirmed(kind, s["found"]))
 
@@ -99,16 +119,17 @@ def proposals(docs: DataFrame, text: str, prefix: str) -> DataFrame:
             body = F.when(body.rlike(r"[A-Z]{2}[0-9]{2}[\x20A-Z0-9]{11}"), body).otherwise("")
         docs = docs.withColumn(f"{prefix}found", F.regexp_extract_all(body, F.lit(pattern), F.lit(0)))
         docs = docs.withColumn(f"{prefix}pieces", F.when(F.size(found) > 0, F.split(body, pattern, -1)).otherwise(F.array().cast("array<string>")))
-        state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,found:string>>").alias("spans"))
-        pairs = F.arrays_zip(found.alias("f"), F.slice(pieces, F.lit(1), F.size(found)).alias("p"))
+        none = F.array().cast("array<struct<start:int,stop:int,found:string>>")
+        parts = F.arrays_zip(found.alias("f"), F.slice(pieces, F.lit(1), F.size(found)).alias("p"))
+        docs = docs.withColumn(f"{prefix}at", F.when(F.size(found) > 0, before(F.transform(parts, lambda x: F.length(x["p"]) + F.length(x["f"])), lambda a, v: a + v)))
 
-        def step(a: Column, x: Column) -> Column:
-            start = a["at"] + F.length(x["p"])
-            stop = start + F.length(x["f"])
-            return F.struct(stop.alias("at"), F.concat(a["spans"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["f"].alias("found")))).alias("spans"))
+        def one(x: Column) -> Column:
+            start = x["at"] + F.length(x["p"])
+            return F.struct(start.alias("start"), (start + F.length(x["f"])).alias("stop"), x["f"].alias("found"))
 
-        spans = F.when(F.size(found) > 0, F.aggregate(pairs, state, step)["spans"]).otherwise(state["spans"])
-        docs = docs.withColumn(f"{prefix}{kind}", _filtered(kind, spans)).drop(f"{prefix}found", f"{prefix}pieces")
+        placed = F.arrays_zip(found.alias("f"), F.slice(pieces, F.lit(1), F.size(found)).alias("p"), F.col(f"{prefix}at").alias("at"))
+        spans = F.when(F.size(found) > 0, F.transform(placed, one)).otherwise(none)
+        docs = docs.withColumn(f"{prefix}{kind}", _filtered(kind, spans)).drop(f"{prefix}found", f"{prefix}pieces", f"{prefix}at")
     return docs
 
 
@@ -129,8 +150,9 @@ def scored(kind: str, spans: Column, text: Column, rules: PiiRules) -> Column:
 def find_pii(docs: DataFrame, text: str = "text", rules: PiiRules = PiiRules(), spans: str = "pii_spans") -> DataFrame:
     """Adds spans: an array of (kind, start, stop, score), by kind as listed, then start.
 
-    Places count code points, stop is exclusive. A null or empty text has an empty array; repeated
-    rows are treated one by one; an input column named like the output gives way to it.
+    Places count code points, stop is exclusive. A null or empty text has an empty array; a very long
+    text is read whole; repeated rows are treated one by one; an input column named like the output
+    gives way to it; an empty table gives an empty one.
     """
     prefix = unused(docs, "_pii_")
     body = docs.withColumn(f"{prefix}text", F.coalesce(ref(text), F.lit("")))
@@ -147,17 +169,20 @@ def listed(spans: Column) -> Column:
 def redact(docs: DataFrame, text: str = "text", rules: PiiRules = PiiRules()) -> DataFrame:
     """Replaces each span in text by [KIND]; where spans overlap, the later one starts at the earlier one's stop.
 
-    A null text stays null; all other columns stay.
+    A null text stays null, and an empty one empty; a very long text is read whole; repeated rows are
+    treated one by one; all other columns stay; an empty table gives an empty one.
     """
-    spans = f"{unused(docs, '_pii_')}spans"
+    prefix = unused(docs, "_pii_")
+    spans, at = f"{prefix}spans", f"{prefix}from"
     found = find_pii(docs, text, rules, spans)
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    found = found.withColumn(spans, ordered).withColumn(at, before(F.transform(spans, lambda s: s["stop"]), F.greatest))
 
-    def step(a: Column, s: Column) -> Column:
-        more = F.concat(a["parts"], F.array(F.substr(ref(text), a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0))), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        return F.when(s["stop"] > a["at"], F.struct(s["stop"].alias("at"), more.alias("parts"))).otherwise(F.struct(a["at"].alias("at"), a["parts"].alias("parts")))
+    def part(x: Column) -> Column:
+        clean = F.substr(ref(text), x["from"] + 1, F.greatest(x["s"]["start"] - x["from"], F.lit(0)))
+        return F.when(x["s"]["stop"] > x["from"], F.concat(clean, F.lit("["), F.upper(x["s"]["kind"]), F.lit("]"))).otherwise("")
 
-    cuts = F.aggregate(ordered, state, step)
-    clean = F.concat(F.array_join(cuts["parts"], ""), F.substr(ref(text), cuts["at"] + 1, F.lit(2**31 - 1) - cuts["at"]))
+    parts = F.transform(F.arrays_zip(F.col(spans).alias("s"), F.col(at).alias("from")), part)
+    last = F.array_max(F.transform(spans, lambda s: s["stop"]))
+    clean = F.concat(F.array_join(parts, ""), F.substr(ref(text), last + 1, F.lit(2**31 - 1) - last))
     return found.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(ref(text))).select(*(ref(c) for c in docs.columns))
