@@ -214,7 +214,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rul
     if not more.isEmpty():
         labels = cut(components(links.union(more)), "labels")
     member = classes.join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
-    least = member.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    # Written out, so that the join on the label of a hot component can be split.
+    least = cut(member.groupBy("label").agg(F.min("first_id").alias("component_id")), "least")
     found = base.drop("bands").join(member.join(least, "label").select("node", "component_id"), "node", "left")
     found = found.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return found.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
