@@ -1,15 +1,17 @@
-"""What other implementations of the formats agree on."""
+"""What other implementations of the formats agree on. Names and numbers of formats stand in fixed_values.json."""
+
+import json
+from pathlib import Path
+
+_FIXED = json.loads(Path(__file__).with_name("fixed_values.json").read_text())
 
 #: Domains of the hashes, each followed by a zero byte.
-SEMANTIC_DOMAIN = "NICECHUNK:POUW:SEMANTIC:V1"
-ENCODING_DOMAIN = "NICECHUNK:POUW:ENCODING:V1"
-TASK_DOMAIN = "NICECHUNK:POUW:TASK:V1"
-RESULT_DOMAIN = "NICECHUNK:POUW:RESULT:V1"
+SEMANTIC_DOMAIN, ENCODING_DOMAIN, TASK_DOMAIN, RESULT_DOMAIN = (_FIXED["domains"][k] for k in ("semantic", "encoding", "task", "result"))
 
 #: Profiles and formats by number.
-PROFILES = {"terrain_delta": 1, "building": 2, "forged_item": 3}
-ACCOUNT, LEGACY, FORGED, MACHINE, COMPACT = "chunkbroken-v1", "ncm3-v1", "ncf1-v15", "pouw-vm-v1", "ncm4-pouw-v1"
-FORMATS = {ACCOUNT: 1, LEGACY: 2, FORGED: 3, MACHINE: 4, COMPACT: 5}
+PROFILES: dict[str, int] = _FIXED["profiles"]
+FORMATS: dict[str, int] = _FIXED["formats"]
+ACCOUNT, LEGACY, FORGED, MACHINE, COMPACT = FORMATS
 
 #: How payloads, texts and envelopes begin.
 COMPACT_MAGIC, COMPACT_TEXT, LEGACY_TEXT, ACCOUNT_MAGIC, FORGED_TEXT, MACHINE_MAGIC = "NC4P", "NCM4P:", "NCM3:", "NCBK", "NCF1.", "NCPV"
