@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import constants as K
+
 #: Boxes of one command; fewer sub-writes than this, so that order = seq * SUBS + sub is one long.
 SUBS = 1 << 20
 _BOX = "struct<sub:bigint,material:bigint,x:bigint,y:bigint,z:bigint,w:bigint,h:bigint,d:bigint>"
@@ -120,19 +122,26 @@ DRAWN = {"box": box, "cut": box, "clear_box": box, "run": run, "wall": wall, "ex
 DRAWN |= {f"gable_{s}_{'z' if o else 'x'}": (lambda s=s, o=o: gable(s, o)) for s in ("outline", "trim", "fill") for o in (False, True)}
 
 
-def boxes(commands: DataFrame, op: str | None = None) -> DataFrame:
-    """(scene, seq, sub, material, x, y, z, w, h, d): the boxes of commands, all of one op or by their op."""
+#: What an op needs besides a material, an origin and a size.
+_NEEDS = {"run": {"length"}, "wall": {"u", "thickness"}, "extrude": {"mask"}, "repeat_box": {"count"}, "tree": {"crown"}, "fence": {"spacing"}} | {k: {"width"} for k in DRAWN if k.startswith("gable")}
+
+
+def boxes(commands: DataFrame, op: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(scene, seq, keep, sub, material, x, y, z, w, h, d): the boxes of commands, all of one op or by their op.
+
+    An op that draws no boxes, or one whose arguments the table hasn't, is an error: what moves cells
+    belongs to machine.run.
+    """
     if op is None:
         have = set(commands.columns)
-        needs = {"run": {"length"}, "wall": {"u", "thickness"}, "extrude": {"mask"}, "repeat_box": {"count"}, "tree": {"crown"}, "fence": {"spacing"}} | {k: {"width"} for k in DRAWN if k.startswith("gable")}
-        cases = None
+        cases = F.when(F.col("op").isNull(), F.array().cast(f"array<{_BOX}>"))
         for k, made in DRAWN.items():
-            if needs.get(k, set()) <= have:
-                found = made().cast(f"array<{_BOX}>")
-                cases = F.when(F.col("op") == k, found) if cases is None else cases.when(F.col("op") == k, found)
+            if _NEEDS.get(k, set()) <= have:
+                cases = cases.when(F.col("op") == k, made().cast(f"array<{_BOX}>"))
+        cases = cases.otherwise(F.raise_error(F.concat(F.lit("no boxes for the op "), F.col("op"))))
     else:
         cases = DRAWN[op]()
-    return commands.select("scene", "seq", F.inline(cases))
+    return commands.select("scene", "seq", *keep, F.inline(cases))
 
 
 def volume(box_rows: DataFrame) -> DataFrame:
@@ -140,28 +149,44 @@ def volume(box_rows: DataFrame) -> DataFrame:
     return box_rows.withColumn("cells", F.col("w") * F.col("h") * F.col("d"))
 
 
-def within(box_rows: DataFrame, dims: tuple[int, int, int]) -> Column:
+def sizes(dims: tuple) -> list[Column]:
+    """The scene's sizes as columns: numbers, or names of columns."""
+    return [F.col(n) if isinstance(n, str) else F.lit(n) for n in dims]
+
+
+def within(box_rows: DataFrame, dims: tuple) -> Column:
     """Whether a box is not empty and lies inside the scene."""
     ok = F.lit(True)
-    for at, size, most in zip("xyz", "whd", dims):
+    for at, size, most in zip("xyz", "whd", sizes(dims)):
         ok &= (F.col(at) >= 0) & (F.col(size) > 0) & (F.col(at) + F.col(size) <= most)
     return ok
 
 
-def cells(box_rows: DataFrame, dims: tuple[int, int, int], max_cells: int = 262_144) -> DataFrame:
-    """(scene, ord, id, material) of every write; boxes above max_cells are never expanded.
+def box_faults(box_rows: DataFrame, dims: tuple, max_cells: int = K.LIMITS["max_op_expansion"][1]) -> DataFrame:
+    """(scene, seq, kind, code): commands with a box that is empty or leaves the scene, or with too many cells."""
+    each = volume(box_rows).groupBy("scene", "seq").agg(F.bool_and(within(box_rows, dims)).alias("inside"), F.sum(F.greatest("cells", F.lit(0))).alias("cells"))
+    wrong = F.when(F.col("cells") > max_cells, F.struct(F.lit("ResourceLimit").alias("kind"), F.lit("expansion").alias("code"))).when(~F.col("inside"), F.struct(F.lit("OutOfBounds").alias("kind"), F.lit("box").alias("code")))
+    return each.withColumn("wrong", wrong).filter("wrong is not null").select("scene", "seq", "wrong.kind", "wrong.code")
+
+
+def cells(box_rows: DataFrame, dims: tuple, max_cells: int = K.LIMITS["max_op_expansion"][1]) -> DataFrame:
+    """(scene, ord, id, material) of every write; a box above max_cells, an empty one or one outside is an error.
 
-    Rows are dealt by scene before they multiply, so what is shuffled is commands and not cells, and
-    whatever is then grouped by scene and id needs no further exchange.
+    Use box_faults, or machine.run, where such boxes shall be rows. Rows are dealt by scene before they
+    multiply, so what is shuffled is commands and not cells, and whatever is then grouped by scene and
+    id needs no further exchange.
     """
-    sized = volume(box_rows).filter(F.col("cells").between(1, max_cells))
-    each = sized.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("i"))
+    sx, _, sz = sizes(dims)
+    fine = within(box_rows, dims) & (F.col("cells") <= max_cells)
+    count = F.when(fine, F.col("cells")).otherwise(F.raise_error(F.concat(F.lit("a box of scene "), F.col("scene").cast("string"), F.lit(" is empty, leaves the scene or is above the limit"))).cast("long"))
+    each = volume(box_rows).select("*", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("i"))
     x = F.col("x") + F.col("i") % F.col("w")
     z = F.col("z") + F.floor(F.col("i") / F.col("w")) % F.col("d")
     y = F.col("y") + F.floor(F.col("i") / (F.col("w") * F.col("d")))
-    return each.select("scene", (F.col("seq") * SUBS + F.col("sub")).alias("ord"), (x + dims[0] * (z + dims[2] * y)).alias("id"), "material")
+    return each.select("scene", (F.col("seq") * SUBS + F.col("sub")).alias("ord"), (x + sx * (z + sz * y)).alias("id"), "material")
 
 
-def draw(commands: DataFrame, dims: tuple[int, int, int], op: str | None = None) -> DataFrame:
+def draw(commands: DataFrame, dims: tuple, op: str | None = None) -> DataFrame:
     """Cells of all commands, dealt by scene."""
-    return cells(boxes(commands.repartition("scene"), op), dims)
+    keep = tuple(n for n in dims if isinstance(n, str))
+    return cells(boxes(commands.repartition("scene"), op, keep), dims)
