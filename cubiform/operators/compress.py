@@ -6,6 +6,7 @@ from .. import constants as K
 from ..sources import candidates as C
 from ..sources import forged as G
 from ..sources import programs as P
+from ..sources import wire
 
 
 def grown_boxes(cells: dict[int, int], grid: tuple[int, int, int], to_id, to_xyz, order: tuple[int, int, int]) -> list[tuple[int, tuple, tuple]]:
@@ -55,18 +56,13 @@ def terrain(min_y: int, cells: set[int]) -> bytes:
     split = [(i % 16, i // 256, i // 16 % 16) for i in ids]
     if split:
         low, high = [min(c) for c in zip(*split)], [max(c) for c in zip(*split)]
-        size = tuple(h - a + 1 for a, h in zip(low, high))
-        # A patch has two bytes at least, and no program needs over four for a cell.
-        if size[0] * size[1] * size[2] <= 4 * len(ids):
-            tries.append([{"op": "delete_box", "origin": tuple(low), "size": size}])
-    if len(ids) <= 20_000:
-        ys = sorted({s[1] for s in split})
-        shift = ys[0] if ys else 0
-        grid = (16, (ys[-1] - shift + 1) if ys else 1, 16)
-        boxes = grown_boxes({i - 256 * shift: 1 for i in ids}, grid, lambda x, y, z: x + 16 * (z + 16 * y), lambda i: (i % 16, i // 256, i // 16 % 16), (0, 2, 1))
-        tries.append([{"op": "delete_box", "origin": (o[0], o[1] + shift, o[2]), "size": s} for _, o, s in boxes])
+        tries.append([{"op": "delete_box", "origin": tuple(low), "size": tuple(h - a + 1 for a, h in zip(low, high))}])
+        boxes = grown_boxes(dict.fromkeys(ids, 1), K.TERRAIN_GRID, lambda x, y, z: x + 16 * (z + 16 * y), lambda i: (i % 16, i // 256, i // 16 % 16), (0, 2, 1))
+        tries.append([{"op": "delete_box", "origin": o, "size": s} for _, o, s in boxes])
     best = None
     for ops in tries:
+        if len(ops) > K.LIMITS["max_commands"][0]:
+            continue
         have, _ = C.run_terrain(C.TerrainProgram(min_y, ops))
         patches = sorted([(i, 0) for i in cells - have] + [(i, 1) for i in have - cells])
         data = C.write_terrain(C.TerrainProgram(min_y, ops, patches))
@@ -75,8 +71,20 @@ def terrain(min_y: int, cells: set[int]) -> bytes:
     return best
 
 
+def slice_masks(scene: P.Scene, axis: int) -> dict[int, list[int]]:
+    """By material, which cells of the first slice across an axis it fills: u + u_length * v of the tangents."""
+    a, b = P.TANGENTS[axis]
+    sx, sy, sz = scene.size
+    masks: dict[int, list[int]] = {}
+    for i, m in sorted(scene.voxels.items()):
+        at = (i % sx, i // (sx * sz), i // sx % sz)
+        if not at[axis]:
+            masks.setdefault(m, [0] * (scene.size[a] * scene.size[b]))[at[a] + scene.size[a] * at[b]] = 1
+    return dict(sorted(masks.items()))
+
+
 def building(scene: P.Scene) -> bytes:
-    """The smallest of: patches, a literal, grown boxes, runs along an axis, a box for each material."""
+    """The smallest of: patches, a literal, grown boxes, runs along an axis, a box or an extruded first slice for each material."""
     sx, sy, sz = scene.size
     to_id, to_xyz = lambda x, y, z: x + sx * (z + sz * y), lambda i: (i % sx, i // (sx * sz), i // sx % sz)
     boxes = grown_boxes(scene.voxels, scene.size, to_id, to_xyz, (0, 2, 1))
@@ -89,11 +97,19 @@ def building(scene: P.Scene) -> bytes:
     for i, m in scene.voxels.items():
         around.setdefault(m, []).append((i % sx, i // (sx * sz), i // sx % sz))
     tries.append([{"op": "box", "material": m, "origin": tuple(min(c) for c in zip(*at)), "size": tuple(max(c) - min(c) + 1 for c in zip(*at))} for m, at in sorted(around.items())])
+    for axis in range(3):
+        masks = slice_masks(scene, axis)
+        u, v = (scene.size[k] for k in P.TANGENTS[axis])
+        if masks:
+            tries.append([{"op": "extrude", "material": m, "origin": (0, 0, 0), "axis": axis, "u": u, "v": v, "depth": scene.size[axis], "mask": mask} for m, mask in masks.items()])
     best = None
     for ops in tries:
         if len(ops) > K.LIMITS["max_commands"][0]:
             continue
-        have = C.run_building(P.Program(scene.size, ops)).voxels
+        try:
+            have = C.run_building(P.Program(scene.size, ops)).voxels
+        except wire.FormatError:  # an extrusion may write more than the limits allow
+            continue
         data = C.write_building(P.Program(scene.size, ops, [], P.difference(scene.voxels, have)))
         if best is None or (len(data), data) < (len(best), best):
             best = data
