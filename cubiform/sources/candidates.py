@@ -232,7 +232,7 @@ def run_terrain(program: TerrainProgram, limits: dict | None = None) -> tuple[se
     """The deleted cells, and the units."""
     most = {k: v[0] for k, v in K.LIMITS.items()} | (limits or {})
     gone: set[int] = set()
-    units = 0
+    units = writes = 0
     for op in program.ops:
         name, base = op["op"], TERRAIN[op["op"]][2]
         if name == "delete_run":
@@ -253,6 +253,9 @@ def run_terrain(program: TerrainProgram, limits: dict | None = None) -> tuple[se
             base += (UNIVERSE - 1 >> low_bits(len(cells))) + len(cells) + 1
         gone.update(cells)
         units += base + len(cells)
+        writes += len(cells)
+        if len(cells) > most["max_op_expansion"] or writes > most["max_writes"]:
+            raise FormatError("ResourceLimit", "writes")
     for i, kind in program.patches:
         if (i in gone) == (kind == 0):
             raise FormatError("NonCanonical", "patch")
@@ -420,12 +423,13 @@ def _read_forge_op(r: Bytes) -> dict:
     return op
 
 
-def read_forge(data: bytes) -> tuple[Forged, int]:
-    """A forged item as its program makes it, and the units."""
+def read_forge_program(data: bytes) -> tuple[Forged, list[list[dict]], list[list[tuple]], int]:
+    """A forged item as its program makes it, its components' commands and patches, and the units."""
     r = Bytes(data)
     _check_head(r, "forged_item")
     item = Forged(int.from_bytes(r.take(2), "little"), int.from_bytes(r.take(2), "little"), r.take(12))
     mode, units, most = r.byte(), 0, K.LIMITS["max_patches"][0]
+    listed, fixes = [], []
     if mode > 1 or any(a > 63 for a in item.attributes):
         raise FormatError("OutOfBounds", "equipment")
     if mode:
@@ -444,11 +448,20 @@ def read_forge(data: bytes) -> tuple[Forged, int]:
                 raise FormatError("OutOfBounds", "component")
             offset, grip = tuple(r.signed() for _ in range(3)), _read_grip(r)
             ops = [_read_forge_op(r) for _ in range(r.varint())]
-            cells, used = run_forge(ops, _read_patches(r, 2, False))
+            patches = _read_patches(r, 2, False)
+            cells, used = run_forge(ops, patches)
             paint = _read_quads(r, 7, most)
             if not cells or max(cells) >= CELLS:
                 raise FormatError("OutOfBounds", "cells")
             item.components.append(Component(resource, colour, dims, offset, grip, sorted(cells), paint))
             units += used + 11 * len(paint)
+            listed.append(ops)
+            fixes.append(patches)
     r.end()
+    return item, listed, fixes, units
+
+
+def read_forge(data: bytes) -> tuple[Forged, int]:
+    """A forged item as its program makes it, and the units."""
+    item, _, _, units = read_forge_program(data)
     return item, units
