@@ -19,11 +19,23 @@ def elites(candidates: DataFrame, k: int) -> DataFrame:
     return ranked(candidates).filter(F.col("rank") <= k)
 
 
+def rank_key() -> Column:
+    """What orders candidates before they are evaluated: (invalid, cost, mismatches, ops, slot).
+
+    cost is what the commands and the cheapest guess at the residual take: patches one by one, runs of
+    them, or a bitmap. From valid, ops, mask_bytes, volume, slot and the prefilter statistics.
+    """
+    sparse = 3 * F.col("mismatches") + F.col("sets") + F.col("paints")
+    bitmap = F.ceil(F.col("volume") / 8) + 2 * F.col("paints")
+    cost = 6 * F.col("ops") + F.col("mask_bytes") + F.least(sparse, 6 * F.col("runs"), bitmap)
+    return F.struct((~F.col("valid")).alias("invalid"), cost.cast("long").alias("cost"), "mismatches", "ops", "slot")
+
+
 def survivors(candidates: DataFrame, k: int) -> DataFrame:
-    """The best of a cheap score: (invalid, 6 * ops + patch estimate, mismatches, ops, index)."""
-    cost = 6 * (F.col("units") % 16) + F.least(3 * F.col("mismatches") + F.col("bytes"), 6 * (F.col("bytes") % 13))
-    key = F.struct((F.col("mismatches") > 1).alias("invalid"), cost.alias("cost"), "mismatches", "units", "slot")
-    return candidates.withColumn("cost", cost).withColumn("rank", F.row_number().over(Window.partitionBy("island").orderBy(key))).filter(F.col("rank") <= k)
+    """The best k candidates of each island by the rank key, with cost and rank."""
+    keyed = candidates.withColumn("_key", rank_key())
+    best = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("island").orderBy("_key"))).filter(F.col("rank") <= k)
+    return best.withColumn("cost", F.col("_key.cost")).drop("_key")
 
 
 def inject_best(candidates: DataFrame) -> DataFrame:

@@ -1,88 +1,42 @@
 """Population search for smaller programs: islands, elites, tournaments, migration, checkpoints.
 
-A generation is one Spark job: islands prepare offspring, candidates are evaluated dealt by (island,
-slot), and commits are windows over slots. Every draw comes from a generator seeded by (seed, island,
-generation), so neither the number of partitions nor a restart changes a result.
+An epoch is one Spark job: each island breeds its generations in a task of its own and knows what it
+has seen; between epochs the best of all islands migrates, and the population is a table. Every draw
+comes from a generator seeded by (seed, island, generation), so neither the number of partitions nor
+a restart changes a result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import cubiform
 
 from ..sources import programs as P
 from ..sources.wire import FormatError
+from .random import ChaCha8
+from .variation import MUTATIONS, Building, Compact, Forge, Made, Terrain
 
 cloudpickle.register_pickle_by_value(cubiform)
 
-_M64 = (1 << 64) - 1
-_M32 = (1 << 32) - 1
-
-
-def splitmix(x: int) -> int:
-    x = (x + 0x9E3779B97F4A7C15) & _M64
-    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & _M64
-    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & _M64
-    return x ^ x >> 31
-
-
-class ChaCha8:
-    """The ChaCha stream cipher with eight rounds, as a source of numbers."""
-
-    def __init__(self, key: bytes):
-        self.key = [int.from_bytes(key[i : i + 4], "little") for i in range(0, 32, 4)]
-        self.block, self.words = 0, []
-
-    @classmethod
-    def seeded(cls, seed: int, stream: int, generation: int) -> ChaCha8:
-        state = seed ^ stream * 0x9E3779B97F4A7C15 & _M64 ^ generation * 0xBF58476D1CE4E5B9 & _M64
-        key = b""
-        for _ in range(4):
-            state = splitmix(state)
-            key += state.to_bytes(8, "little")
-        return cls(key)
-
-    def _fill(self) -> None:
-        start = [0x61707865, 0x3320646E, 0x79622D32, 0x6B206574, *self.key, self.block & _M32, self.block >> 32, 0, 0]
-        s = start[:]
-
-        def quarter(a, b, c, d):
-            for x, y, z, n in ((a, b, d, 16), (c, d, b, 12), (a, b, d, 8), (c, d, b, 7)):
-                s[x] = s[x] + s[y] & _M32
-                v = s[z] ^ s[x]
-                s[z] = (v << n | v >> 32 - n) & _M32
-
-        for _ in range(4):
-            for i in range(4):
-                quarter(i, 4 + i, 8 + i, 12 + i)
-            for i in range(4):
-                quarter(i, 4 + (i + 1) % 4, 8 + (i + 2) % 4, 12 + (i + 3) % 4)
-        self.words = [a + b & _M32 for a, b in zip(s, start)][::-1]
-        self.block += 1
-
-    def u32(self) -> int:
-        if not self.words:
-            self._fill()
-        return self.words.pop()
-
-    def u64(self) -> int:
-        return self.u32() | self.u32() << 32
-
-    def below(self, n: int) -> int:
-        """0 without a draw where there is no choice."""
-        return self.u64() % n if n > 1 else 0
+Family = Compact | Terrain | Building | Forge
 
 
 @dataclass(frozen=True)
 class SearchConfig:
+    """Between migrations an island breeds epoch generations. survivors, above zero: how many offspring
+
+    of an island and a generation are evaluated, the best by a cheap key; compact programs alone have one.
+    """
+
     seed: int = 44
     islands: int = 4
     population: int = 8
@@ -90,279 +44,229 @@ class SearchConfig:
     tournament: int = 3
     crossover_percent: int = 40
     shard: int = 0
-    #: With this, only the best by a cheap score are evaluated; a survivor limit for each island.
     survivors: int = 0
     max_attempts: int = 1 << 40
+    epoch: int = 5
 
     def check(self) -> SearchConfig:
-        if not (4 <= self.population <= 16_384 and 1 <= self.elites < self.population and 2 <= self.tournament <= self.population and self.islands >= 1):
-            raise ValueError("population 4..16384, 1 <= elites < population, 2 <= tournament <= population")
+        if not (4 <= self.population <= 16_384 and 1 <= self.elites < self.population and 2 <= self.tournament <= self.population and self.islands >= 1 and self.epoch >= 1):
+            raise ValueError("population 4..16384, 1 <= elites < population, 2 <= tournament <= population, epoch >= 1")
         return self
 
+    def attempts(self, generations: int) -> int:
+        """Offspring of all islands after so many generations."""
+        return generations * self.islands * (self.population - self.elites)
+
+
+def key(encoding: bytes) -> bytes:
+    """By this an island remembers an encoding."""
+    return hashlib.sha256(encoding).digest()
+
+
+def offspring(family: Family, people: list[Made], config: SearchConfig, stream: int, generation: int) -> list[tuple[Made, object]]:
+    """(parent, child) for each place behind the elites: even streams cross, odd ones mutate more."""
+    rng = ChaCha8.seeded(config.seed, stream, generation)
+    genetic, found = stream % 2 == 0, []
+
+    def parent() -> Made:
+        return min(people[rng.below(len(people))] for _ in range(config.tournament))
+
+    for _ in range(config.elites, config.population):
+        chosen = parent()
+        child = family.read(chosen[2])
+        if genetic and rng.u32() % 100 < config.crossover_percent:
+            child = family.cross(child, family.read(parent()[2]), rng)
+        for _ in range(1 if genetic else 2 + rng.u32() % 3):
+            child = family.mutate(child, rng)
+        found.append((chosen, family.tidy(child)))
+    return found
 
-# ---- variation -----------------------------------------------------------------------------
-
-
-def _boxes_to_repeat(ops: list[dict]) -> list[dict]:
-    """Two boxes of one material and size become a repetition."""
-    for i, a in enumerate(ops):
-        for j in range(i + 1, len(ops)):
-            b = ops[j]
-            if a["op"] == b["op"] == "box" and (a["material"], a["size"]) == (b["material"], b["size"]) and a["origin"] != b["origin"]:
-                delta = tuple(y - x for x, y in zip(a["origin"], b["origin"]))
-                if all(abs(d) <= 256 for d in delta):
-                    return [*ops[:i], {"op": "repeat_box", "material": a["material"], "origin": a["origin"], "size": a["size"], "count": 2, "delta": delta}, *ops[i + 1 : j], *ops[j + 1 :]]
-    return ops
-
-
-def _thin_box(op: dict) -> dict:
-    """A box one cell wide in two directions is a run; in one, a wall."""
-    thin = [k for k in range(3) if op["size"][k] == 1]
-    if len(thin) >= 2:
-        axis = next((k for k in range(3) if k not in thin), 0)
-        return {"op": "run", "material": op["material"], "origin": op["origin"], "axis": axis, "length": op["size"][axis]}
-    if len(thin) == 1:
-        u, v = P.TANGENTS[thin[0]]
-        return {"op": "wall", "material": op["material"], "origin": op["origin"], "axis": thin[0], "u": op["size"][u], "v": op["size"][v], "thickness": 1}
-    return op
-
-
-def _split(op: dict, rng: ChaCha8) -> list[dict]:
-    wide = [k for k in range(3) if op["size"][k] > 1]
-    if not wide:
-        return [op]
-    axis = wide[rng.below(len(wide))]
-    at = 1 + rng.below(op["size"][axis] - 1)
-    low, high, origin = list(op["size"]), list(op["size"]), list(op["origin"])
-    low[axis], high[axis] = at, op["size"][axis] - at
-    origin[axis] += at
-    return [{**op, "size": tuple(low)}, {**op, "origin": tuple(origin), "size": tuple(high)}]
-
-
-def _region(program: P.Program, rng: ChaCha8) -> tuple[tuple, tuple]:
-    size = tuple(1 + rng.below(min(s, 8)) for s in program.size)
-    return tuple(rng.below(s - e + 1) for s, e in zip(program.size, size)), size
-
-
-def _appended(kind: str, program: P.Program, rng: ChaCha8) -> dict:
-    at, size = _region(program, rng)
-    delta = tuple(rng.below(17) - 8 for _ in range(3))
-    material = program.palette[rng.below(len(program.palette))]
-    made = {
-        "translate": lambda: {"source": at, "size": size, "delta": delta}, "rotate_y": lambda: {"source": at, "size": size, "target": at, "turns": 1 + rng.below(3)},
-        "mirror": lambda: {"source": at, "size": size, "target": at, "axis": rng.below(3)}, "repeat_region": lambda: {"source": at, "size": size, "count": 2 + rng.below(3), "delta": delta},
-        "clear_box": lambda: {"origin": at, "size": size}, "gable": lambda: {"material": material, "style": rng.below(3), "z_oriented": rng.below(2), "origin": at, "width": size[0], "depth": size[2]},
-        "tree": lambda: {"material": material, "leaf": material, "origin": at, "height": 2 + rng.below(6), "crown": 1 + rng.below(2)},
-        "fence": lambda: {"material": material, "origin": at, "axis": rng.below(2), "length": size[0], "spacing": 1 + rng.below(4)},
-    }[kind]()
-    return {"op": kind, **made}
-
-
-APPENDED = ("translate", "rotate_y", "mirror", "repeat_region", "clear_box", "gable", "tree", "fence")
-MUTATIONS = ("remove", "swap", "thin", "split", "combine", "shrink", "fewer", "mask", *APPENDED, "repeat")
-
-
-def mutate(program: P.Program, rng: ChaCha8, kind: str | None = None) -> P.Program:
-    """One change of the commands; what it can't apply to, it leaves. The residual makes up for the rest."""
-    ops = list(program.ops)
-    kind = kind or MUTATIONS[rng.u32() % len(MUTATIONS)]
-    if not ops and kind not in APPENDED:
-        return program
-    i = rng.below(len(ops))
-    if kind == "remove":
-        del ops[i]
-    elif kind == "swap":
-        j = rng.below(len(ops))
-        ops[i], ops[j] = ops[j], ops[i]
-    elif kind in ("combine", "repeat"):
-        ops = _boxes_to_repeat(ops)
-    elif kind in APPENDED:
-        ops.append(_appended(kind, program, rng))
-    elif kind == "fewer" and ops[i]["op"] == "repeat_box":
-        ops[i] = {**ops[i], "count": max(2, ops[i]["count"] - 1)}
-    elif ops[i]["op"] == "box":
-        if kind == "thin":
-            ops[i] = _thin_box(ops[i])
-        elif kind == "split":
-            ops[i : i + 1] = _split(ops[i], rng)
-        elif kind == "shrink":
-            axis = rng.below(3)
-            ops[i] = {**ops[i], "size": tuple(max(1, s - 1) if k == axis else s for k, s in enumerate(ops[i]["size"]))}
-        elif kind == "mask":
-            axis = rng.below(3)
-            u, v = (ops[i]["size"][k] for k in P.TANGENTS[axis])
-            ops[i] = {"op": "extrude", "material": ops[i]["material"], "origin": ops[i]["origin"], "axis": axis, "u": u, "v": v, "depth": ops[i]["size"][axis], "mask": [1] * (u * v)}
-    return P.Program(program.size, ops, program.palette)
-
-
-def tidy(program: P.Program) -> P.Program:
-    """Without repeated commands; the first of each stays."""
-    seen, ops = set(), []
-    for op in program.ops:
-        key = json.dumps(op, sort_keys=True)
-        if key not in seen:
-            seen.add(key)
-            ops.append(op)
-    return P.Program(program.size, ops, program.palette)
-
-
-def cross(a: P.Program, b: P.Program, rng: ChaCha8) -> P.Program:
-    """The beginning of one program and the end of another."""
-    return P.Program(a.size, a.ops[: rng.below(len(a.ops) + 1)] + b.ops[rng.below(len(b.ops) + 1) :], a.palette)
-
-
-def evaluate(program: P.Program, target: P.Scene) -> tuple[int, int, bytes] | None:
-    """(bytes, units, encoding) of the program made exact, and read back to be sure; None if it can't be."""
-    try:
-        data = P.encode(P.exactify(program, target))
-        scene = P.execute(P.decode(data))
-    except (FormatError, KeyError):
-        return None
-    return (len(data), scene.units, data) if scene.voxels == target.voxels else None
-
-
-# ---- generations ---------------------------------------------------------------------------
-
-_POPULATION = "island long, slot long, bytes long, units long, encoding binary, fresh boolean"
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["island", "slot", "bytes", "units", "encoding", "fresh"])
-
-
-def initial(spark: SparkSession, target: P.Scene, seed: P.Program, config: SearchConfig) -> DataFrame:
+
+def evolve(family: Family, people: list[Made], seen: set[bytes], config: SearchConfig, stream: int, generations: range) -> tuple[list[Made], list[bytes]]:
+    """An island after some generations, best first, and the keys of what it saw for the first time.
+
+    A child that fails, or whose encoding the island has seen, leaves its place to its parent.
+    """
+    people, fresh = sorted(people), []
+    for generation in generations:
+        children = offspring(family, people, config, stream, generation)
+        tried = range(len(children))
+        if config.survivors:
+            tried = set(sorted(tried, key=lambda i: (*family.rank(children[i][1]), i))[: config.survivors])
+        placed = people[: config.elites]
+        for i, (chosen, child) in enumerate(children):
+            made = family.evaluate(child) if i in tried else None
+            if made and (k := key(made[2])) not in seen:
+                seen.add(k)
+                fresh.append(k)
+                placed.append(made)
+            else:
+                placed.append(chosen)
+        people = sorted(placed)
+    return people, fresh
+
+
+# ---- tables --------------------------------------------------------------------------------
+
+_POPULATION = "island long, slot long, bytes long, units long, encoding binary"
+_STATE = f"{_POPULATION}, seen binary"
+
+
+def _frame(island: int, people: list[Made], fresh: list[bytes]) -> pd.DataFrame:
+    """An island's people by slot, and what it saw first, in rows of their own."""
+    rows = [(island, slot, *p, None) for slot, p in enumerate(people)] + [(island, None, None, None, None, k) for k in fresh]
+    return pd.DataFrame(rows, columns=["island", "slot", "bytes", "units", "encoding", "seen"]).astype({"slot": "Int64", "bytes": "Int64", "units": "Int64"})
+
+
+def founders(family: Family, seed: object, config: SearchConfig, island: int) -> tuple[list[Made], list[bytes]]:
     """Slot 0 is the seed, the others single mutations of it; what fails is the seed again."""
+    start = family.evaluate(seed)
+    if start is None:
+        raise ValueError("the seed can't be made exact")
+    people, known = [start], {key(start[2])}
+    for slot in range(1, config.population):
+        rng = ChaCha8.seeded(config.seed, config.shard * config.islands + island, (1 << 32) + slot)
+        child = family.mutate(seed, rng, MUTATIONS[(slot + island) % len(MUTATIONS)]) if isinstance(family, Compact) else family.mutate(seed, rng)
+        made = family.evaluate(child)
+        made = made if made and key(made[2]) not in known else start
+        known.add(key(made[2]))
+        people.append(made)
+    return sorted(people), sorted(known)
+
+
+def initial(spark: SparkSession, family: Family, seed: object, config: SearchConfig) -> DataFrame:
+    """The state before the first generation: islands are founded by one task each."""
     config.check()
-    start = evaluate(seed, target)
-    rows = []
-    for island in range(config.islands):
-        known = {start[2]}
-        for slot in range(config.population):
-            found = start
-            if slot:
-                rng = ChaCha8.seeded(config.seed, config.shard * config.islands + island, (1 << 32) + slot)
-                made = evaluate(mutate(seed, rng, MUTATIONS[(slot + island) % len(MUTATIONS)]), target)
-                found = made if made and made[2] not in known else start
-                known.add(found[2])
-            rows.append((island, slot, *found, True))
-    return spark.createDataFrame(_frame(rows), _POPULATION)
-
-
-def step(population: DataFrame, seen: DataFrame, target: P.Scene, config: SearchConfig, generation: int) -> DataFrame:
-    """The next population, with fresh marking encodings not seen on their island before.
-
-    population: an island's slots; seen: (island, encoding). The target and the best candidate, both
-    bounded by the limits of a scene, travel with the functions.
-    """
 
-    best = population.orderBy("bytes", "units", "encoding").select("bytes", "units", "encoding").first()
+    def found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for island in pdf["island"].tolist():
+                yield _frame(island, *founders(family, seed, config, island))
+
+    return spark.range(config.islands).select(F.col("id").alias("island")).repartition(config.islands, "island").mapInPandas(found, _STATE)
+
+
+def step(state: DataFrame, family: Family, config: SearchConfig, first: int, last: int) -> DataFrame:
+    """The state after generations first .. last: rows of the population, and rows of what was seen first.
+
+    state: the last population, and everything seen before. Where an epoch begins, the best of all
+    islands takes the last place of each island that hasn't its encoding. The family and the best
+    candidate, both bounded by the limits of a scene, travel with the function.
+    """
+    migrates = (first - 1) % config.epoch == 0
+    best = state.filter("slot is not null").orderBy("bytes", "units", "encoding").select("bytes", "units", "encoding").first()
     best = (best.bytes, best.units, bytes(best.encoding))
-    size, voxels = target.size, target.voxels
 
-    def prepare(pdf: pd.DataFrame) -> pd.DataFrame:
+    def breed(pdf: pd.DataFrame) -> pd.DataFrame:
         island = int(pdf["island"].iloc[0])
-        people = sorted((int(r.bytes), int(r.units), bytes(r.encoding)) for r in pdf.itertuples())
-        if all(p[2] != best[2] for p in people):
+        lives = pdf["slot"].notna()
+        people = sorted((int(r.bytes), int(r.units), bytes(r.encoding)) for r in pdf[lives].itertuples())
+        if migrates and all(p[2] != best[2] for p in people):
             people[-1] = best
-            people.sort()
-        stream = config.shard * config.islands + island
-        rng = ChaCha8.seeded(config.seed, stream, generation)
-        genetic = stream % 2 == 0
-
-        def parent() -> tuple:
-            return min(people[rng.below(len(people))] for _ in range(config.tournament))
-
-        rows = [(island, k, *p, "", True) for k, p in enumerate(people[: config.elites])]
-        for slot in range(config.elites, config.population):
-            chosen = parent()
-            child = P.decode(chosen[2])
-            if genetic and rng.u32() % 100 < config.crossover_percent:
-                child = cross(child, P.decode(parent()[2]), rng)
-            for _ in range(1 if genetic else 2 + rng.u32() % 3):
-                child = mutate(child, rng)
-            child = tidy(child)
-            rows.append((island, slot, *chosen, json.dumps({"ops": child.ops, "palette": child.palette}), False))
-        return pd.DataFrame(rows, columns=["island", "slot", "bytes", "units", "encoding", "child", "elite"])
-
-    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scene = P.Scene(size, voxels)
-        for pdf in frames:
-            rows = []
-            for r in pdf.itertuples():
-                made = None
-                if r.child:
-                    child = json.loads(r.child)
-                    ops = [{k: tuple(v) if isinstance(v, list) and k != "mask" else v for k, v in op.items()} for op in child["ops"]]
-                    made = evaluate(P.Program(size, ops, child["palette"]), scene)
-                rows.append((r.island, r.slot, *((r.bytes, r.units, r.encoding)), *(made or (None, None, None))))
-            yield pd.DataFrame(rows, columns=["island", "slot", "bytes", "units", "encoding", "new_bytes", "new_units", "new_encoding"]).astype({"new_bytes": "Int64", "new_units": "Int64"})
-
-    offspring = population.groupBy("island").applyInPandas(prepare, "island long, slot long, bytes long, units long, encoding binary, child string, elite boolean")
-    if config.survivors:
-        cheap = Window.partitionBy("island").orderBy(F.length("child"), "slot")
-        offspring = offspring.withColumn("rank", F.row_number().over(cheap)).withColumn("child", F.when(F.col("elite") | (F.col("rank") <= config.survivors + config.elites), F.col("child")).otherwise("")).drop("rank")
-    judged = offspring.repartition("island", "slot").mapInPandas(judge, "island long, slot long, bytes long, units long, encoding binary, new_bytes long, new_units long, new_encoding binary")
-    known = seen.select("island", F.col("encoding").alias("new_encoding")).distinct().withColumn("known", F.lit(True))
-    first = F.row_number().over(Window.partitionBy("island", "new_encoding").orderBy("slot")) == 1
-    judged = judged.join(known, ["island", "new_encoding"], "left").withColumn("fresh", F.col("new_encoding").isNotNull() & F.col("known").isNull() & first)
-    chosen = lambda c: F.when(F.col("fresh"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c)
-    placed = judged.select("island", chosen("bytes"), chosen("units"), chosen("encoding"), "fresh", "slot")
-    order = Window.partitionBy("island").orderBy("bytes", "units", "encoding", "slot")
-    return placed.withColumn("slot", (F.row_number().over(order) - 1).cast("long")).select("island", "slot", "bytes", "units", "encoding", "fresh")
+        seen = {bytes(k) for k in pdf[~lives]["seen"]} | {key(p[2]) for p in people}
+        return _frame(island, *evolve(family, people, seen, config, config.shard * config.islands + island, range(first, last + 1)))
+
+    return state.groupBy("island").applyInPandas(breed, _STATE)
 
 
 class Search:
-    """A search that can be stopped and taken up again: each generation is a table below a folder."""
+    """A search that can be stopped and taken up again: the state after each epoch is a table below a folder."""
 
-    def __init__(self, spark: SparkSession, folder: str, target: P.Scene, config: SearchConfig):
-        self.spark, self.folder, self.target, self.config = spark, folder.rstrip("/"), target, config.check()
+    def __init__(self, spark: SparkSession, folder: str, target: P.Scene | Family, config: SearchConfig):
+        self.spark, self.folder, self.config = spark, folder.rstrip("/"), config.check()
+        self.family = Compact(target) if isinstance(target, P.Scene) else target
+        if config.survivors and not isinstance(self.family, Compact):
+            raise ValueError("only compact programs can be ranked before they are evaluated")
 
     def _path(self, generation: int) -> str:
         return f"{self.folder}/generation={generation}"
 
-    def start(self, seed: P.Program) -> None:
-        facts = {"config": asdict(self.config), "root": self.target.root()}
-        self.spark.createDataFrame([(json.dumps(facts, sort_keys=True),)], "facts string").coalesce(1).write.mode("errorifexists").text(f"{self.folder}/config")
-        initial(self.spark, self.target, seed, self.config).write.parquet(self._path(0))
+    def _facts(self, root: str) -> dict:
+        return json.loads(json.dumps({"config": asdict(self.config), "root": root, "family": type(self.family).__name__}))
+
+    def _root(self) -> str:
+        return root_of(self.family)
+
+    def start(self, seed: object) -> None:
+        facts = json.dumps(self._facts(self._root()), sort_keys=True)
+        self.spark.createDataFrame([(facts,)], "facts string").coalesce(1).write.mode("errorifexists").text(f"{self.folder}/config")
+        initial(self.spark, self.family, seed, self.config).write.parquet(self._path(0))
+
+    def _state(self, generation: int) -> DataFrame:
+        return self.spark.read.schema(_STATE).parquet(self._path(generation))
 
     def population(self, generation: int) -> DataFrame:
-        return self.spark.read.schema(_POPULATION).parquet(self._path(generation))
+        return self._state(generation).filter("slot is not null").drop("seen")
+
+    def epochs(self, begin: int, generations: int) -> list[tuple[int, int]]:
+        """(first, last) generations of the epochs, begun ones included, that lead from one stored generation to another."""
+        found, size = [], self.config.epoch
+        while begin < generations:
+            last = min((begin // size + 1) * size, generations)
+            found.append((begin + 1, last))
+            begin = last
+        return found
 
     def run(self, generations: int, begin: int = 0) -> DataFrame:
-        """Generations begin + 1 .. generations; the population after the last."""
-        for g in range(begin + 1, generations + 1):
-            if (g - 1) * self.config.islands * (self.config.population - self.config.elites) >= self.config.max_attempts:
-                return self.population(g - 1)
-            seen = self.spark.read.schema(_POPULATION).parquet(*(self._path(k) for k in range(g))).select("island", "encoding")
-            step(self.population(g - 1), seen, self.target, self.config, g).write.parquet(self._path(g))
+        """Generations begin + 1 .. generations, by epochs; the population after the last that the attempts allow."""
+        have = [g for g in self.stored() if g <= begin]
+        for first, last in self.epochs(begin, generations):
+            if self.config.attempts(first - 1) >= self.config.max_attempts:
+                return self.population(first - 1)
+            before = self.spark.read.schema(_STATE).parquet(*(self._path(g) for g in have)).filter("slot is null")
+            step(self.population(have[-1]).withColumn("seen", F.lit(None).cast("binary")).unionByName(before), self.family, self.config, first, last).write.parquet(self._path(last))
+            have.append(last)
         return self.population(generations)
 
+    def stored(self) -> list[int]:
+        """The generations that are stored whole, in order."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = []
+        for s in fs.listStatus(path):
+            name = s.getPath().getName()
+            if name.startswith("generation=") and fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
+                found.append(int(name.partition("=")[2]))
+        return sorted(found)
+
     def resume(self, at: int, generations: int) -> DataFrame:
         """Takes up after a stored generation, once it is known to be of this search and untampered."""
         stored = json.loads(self.spark.read.text(f"{self.folder}/config").first()[0])
-        if stored != json.loads(json.dumps({"config": asdict(self.config), "root": self.target.root()})):
+        if stored != self._facts(self._root()):
             raise ValueError("the stored search is another one")
-        verify(self.population(at), self.target)
+        verify(self.population(at), self.family)
         return self.run(generations, at)
 
     def progress(self, generation: int) -> DataFrame:
-        return self.population(generation).groupBy("island").agg(F.min("bytes").alias("best_bytes"), F.count_if("fresh").alias("fresh"), F.count_distinct("encoding").alias("different"))
+        """By island: the best bytes, how many different encodings live, and how many were seen since the stored generation before."""
+        state = self._state(generation)
+        return state.groupBy("island").agg(F.min("bytes").alias("best_bytes"), F.count("seen").alias("fresh"), F.count_distinct("encoding").alias("different"))
+
+
+def root_of(family: Family) -> str:
+    """What a family's target is known by."""
+    if isinstance(family, Compact):
+        return family.target.root()
+    if isinstance(family, Building):
+        return P.Scene(family.size, family.voxels).root()
+    if isinstance(family, Terrain):
+        return key(repr((family.min_y, family.ids)).encode()).hex()
+    return family.item.root()
 
 
-def verify(population: DataFrame, target: P.Scene) -> None:
-    """Every stored candidate must draw the target, with the bytes and units it claims."""
-    size, root = target.size, target.root()
+def verify(population: DataFrame, target: P.Scene | Family) -> None:
+    """Every stored candidate must be what its program, evaluated again, becomes: the target, with its bytes and units."""
+    family = Compact(target) if isinstance(target, P.Scene) else target
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             bad = []
             for r in pdf.itertuples():
                 try:
-                    scene = P.execute(P.decode(bytes(r.encoding)))
-                    fine = scene.size == size and scene.root() == root and (len(r.encoding), scene.units) == (r.bytes, r.units)
+                    made = family.evaluate(family.read(bytes(r.encoding)))
                 except FormatError:
-                    fine = False
-                if not fine:
+                    made = None
+                if made is None or made != (r.bytes, r.units, bytes(r.encoding)):
                     bad.append((r.island, r.slot))
             yield pd.DataFrame(bad, columns=["island", "slot"])
 
