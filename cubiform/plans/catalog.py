@@ -142,28 +142,11 @@ def shaped(spark: SparkSession, sf_dir: str, op: str) -> DataFrame:
 # ---- scalar functions ----------------------------------------------------------------------
 
 _PREFIXES = [(" " if name == K.LEGACY else "") + prefix for prefix, name in K.BEGINNINGS]
-_TEXTS = "SELECT doc_id, CASE " + " ".join(f"WHEN doc_id % 9 = {i} THEN '{t}' || left(text, 8)" for i, t in enumerate(_PREFIXES)) + " ELSE text END AS text FROM documents"
-
-
-def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("text")
-    for i, t in enumerate(_PREFIXES):
-        text = F.when(F.col("doc_id") % 9 == i, F.concat(F.lit(t), F.left(F.col("text"), F.lit(8)))).otherwise(text)
-    return A.read(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
-
-
 _CASES = " ".join(f"WHEN starts_with(t, '{prefix}') THEN '{name}'" for prefix, name in K.BEGINNINGS)
-
-
-@query("detect_format", sql("doc_id format:s", f"SELECT doc_id, CASE {_CASES} ELSE 'unknown' END AS format FROM (SELECT doc_id, ltrim(text, chr(9) || chr(10) || chr(12) || chr(13) || ' ') AS t FROM texts) AS trimmed", f"texts AS ({_TEXTS})"))
-def _(spark, d):
-    return _texts(spark, d).select("doc_id", S.detect_format("text").alias("format"))
-
-
 _WHOLE = "SELECT doc_id, CASE " + " ".join(f"WHEN doc_id % {len(_PREFIXES) + 1} = {i} THEN '{t}' || text" for i, t in enumerate(_PREFIXES)) + " ELSE text END AS text FROM documents"
 
 
-@query("detect_format_whole", sql("doc_id format:s bytes", f"SELECT doc_id, CASE {_CASES} ELSE 'unknown' END AS format, bytes FROM (SELECT doc_id, ltrim(text, chr(9) || chr(10) || chr(12) || chr(13) || ' ') AS t, octet_length(encode(text)) AS bytes FROM texts) AS trimmed", f"texts AS ({_WHOLE})"))
+@query("detect_format", sql("doc_id format:s bytes", f"SELECT doc_id, CASE {_CASES} ELSE 'unknown' END AS format, bytes FROM (SELECT doc_id, ltrim(text, chr(9) || chr(10) || chr(12) || chr(13) || ' ') AS t, octet_length(encode(text)) AS bytes FROM texts) AS trimmed", f"texts AS ({_WHOLE})"))
 def _(spark, d):
     text = F.col("text")
     for i, t in enumerate(_PREFIXES):
@@ -220,13 +203,7 @@ _coordinates("terrain", 16, 16, 512, "xzy", S.terrain_id)
 _coordinates("forge", 14, 10, 14, "xyz", S.forge_id)
 
 
-@query("base64_canonical", sql("doc_id url:s bytes", """SELECT doc_id, replace(replace(rtrim(base64(encode(left(text, 40))), '='), '+', '-'), '/', '_') AS url, octet_length(encode(left(text, 40))) AS bytes FROM documents"""))
-def _(spark, d):
-    url = S.base64url(F.encode(F.left("text", F.lit(40)), "UTF-8"))
-    return A.read(spark, d, "documents").select("doc_id", url.alias("url"), F.octet_length(S.unbase64url(url)).alias("bytes"))
-
-
-@query("base64_whole", sql("doc_id url:s bytes", """SELECT doc_id, replace(replace(rtrim(base64(encode(text)), '='), '+', '-'), '/', '_') AS url, octet_length(encode(text)) AS bytes FROM documents"""))
+@query("base64_canonical", sql("doc_id url:s bytes", """SELECT doc_id, replace(replace(rtrim(base64(encode(text)), '='), '+', '-'), '/', '_') AS url, octet_length(encode(text)) AS bytes FROM documents"""))
 def _(spark, d):
     url = S.base64url(F.encode("text", "UTF-8"))
     return A.read(spark, d, "documents").select("doc_id", url.alias("url"), F.octet_length(S.unbase64url(url)).alias("bytes"))
@@ -348,12 +325,7 @@ def _(spark, d):
     return summary(state.last_writer(laid(spark, d)))
 
 
-@query("lww_state", sql("scene id material", "SELECT * FROM voxels WHERE scene % 10 = 0", f"{LAID}, {state_sql('voxels', 'laid')}"))
-def _(spark, d):
-    return state.last_writer(laid(spark, d)).filter("scene % 10 = 0")
-
-
-@query("lww_state_whole", sql("scene id material", "SELECT * FROM voxels", f"{LAID}, {state_sql('voxels', 'laid')}"))
+@query("lww_state", sql("scene id material", "SELECT * FROM voxels", f"{LAID}, {state_sql('voxels', 'laid')}"))
 def _(spark, d):
     return state.last_writer(laid(spark, d))
 
@@ -664,14 +636,19 @@ def _(spark, d):
     return rows.select("scene", canonical.profile_header_bytes(DIMS, F.col("palette"), F.col("n")).alias("bytes"))
 
 
-AUDIT = f"{BITS}, sizes AS (SELECT scene, 30 + 9 * count(*) AS source_bytes, 8 + 3 + {vl('max(ms)')} + max(ms) + {vl('count(*)')} + (sum(bits) + 7) // 8 + 1 AS compact_bytes FROM bits GROUP BY scene)"
+_BOX_FIELDS = ("material", "ox", "oy", "oz", "sx - 1", "sy - 1", "sz - 1")
+AUDIT = f"""{CMDS}, sizes AS (SELECT scene, 1 + 3 + {vl('n')} + written AS source_bytes, 8 + 3 + {vl('ms')} + palette + {vl('n')} + (n * (34 + length(ltrim(bin(greatest(ms - 1, 1)), '0'))) + 7) // 8 + 1 AS compact_bytes
+ FROM (SELECT scene, count(*) AS n, count(DISTINCT material) AS ms, sum(1 + {' + '.join(vl(f) for f in _BOX_FIELDS)}) AS written FROM cmds GROUP BY scene) AS a JOIN (SELECT scene, sum({vl('material')}) AS palette FROM (SELECT DISTINCT scene, material FROM cmds) AS m GROUP BY scene) AS b USING (scene))"""
 
 
 def _audit(spark, d):
-    rows = _bits(spark, d).groupBy("scene").agg(F.first("palette").alias("palette"), F.count(F.lit(1)).alias("n"), F.sum("bits").alias("bits"))
-    body = F.floor((F.col("bits") + 7) / 8)
-    compact = 8 + canonical.profile_header_bytes(DIMS, F.col("palette"), F.col("n")) + body + 1
-    return canonical.audited(rows.select("scene", (30 + 9 * F.col("n")).alias("source_bytes"), compact.alias("compact_bytes")))
+    """The sizes of the scenes' box programs in the legacy and in the compact form."""
+    written = sum((S.varint_length(F.expr(f)) for f in _BOX_FIELDS), F.lit(1))
+    rows = A.commands(spark, d).groupBy("scene").agg(F.array_sort(F.collect_set("material")).alias("palette"), F.count(F.lit(1)).alias("n"), F.sum(written).alias("written"))
+    bits = F.col("n") * canonical.command_bits(F.lit("box"), DIMS, F.size("palette"), F.lit(0), F.lit(0))
+    compact = 8 + canonical.profile_header_bytes(DIMS, F.col("palette"), F.col("n")) + F.floor((bits + 7) / 8) + 1
+    source = 4 + S.varint_length("n") + F.col("written")
+    return canonical.audited(rows.select("scene", source.alias("source_bytes"), compact.alias("compact_bytes")))
 
 
 @query("audit", sql("scene source_bytes compact_bytes saved_bytes saved_bps selected:s deep_search:b", "SELECT *, source_bytes - compact_bytes AS saved_bytes, CAST(trunc(CAST((source_bytes - compact_bytes) * 10000 AS DOUBLE) / source_bytes) AS BIGINT) AS saved_bps, CASE WHEN compact_bytes < source_bytes THEN 'compact' ELSE 'source' END AS selected, compact_bytes <= source_bytes + 16 AS deep_search FROM sizes", AUDIT))
@@ -708,18 +685,12 @@ def _(spark, d):
     return quads.overlaps(A.quads(spark, d))
 
 
-@query("surface_violations", sql("owner quad bare", """SELECT owner, quad, count(*) AS bare FROM (SELECT owner, quad, u0 + c % (u1 - u0) AS u, v0 + c // (u1 - u0) AS v, plane FROM (SELECT *, unnest(range(0, (u1 - u0) * (v1 - v0))) AS c FROM quads WHERE axis = 2) AS e) AS f
- WHERE NOT EXISTS (SELECT 1 FROM forge WHERE forge.component = f.owner AND forge.cell = f.u + 14 * (f.v + 10 * f.plane)) GROUP BY owner, quad""", f"{QUADS}, {FORGE}"))
-def _(spark, d):
-    return quads.bare_cells(A.quads(spark, d).filter("axis = 2"), A.forge(spark, d))
-
-
 _FACES = """SELECT *, CASE axis WHEN 0 THEN {p} ELSE u END AS x, CASE axis WHEN 0 THEN u WHEN 1 THEN {p} ELSE v END AS y, CASE axis WHEN 2 THEN {p} ELSE v END AS z
  FROM (SELECT *, u0 + c % (u1 - u0) AS u, v0 + c // (u1 - u0) AS v FROM (SELECT *, unnest(range(0, (u1 - u0) * (v1 - v0))) AS c FROM quads) AS e) AS f"""
 _HELD = "EXISTS (SELECT 1 FROM forge WHERE forge.component = owner AND x BETWEEN 0 AND 13 AND y BETWEEN 0 AND 9 AND z BETWEEN 0 AND 13 AND forge.cell = x + 14 * (y + 10 * z))"
 
 
-@query("surface_faults", sql("owner quad bare internal", f"""SELECT owner, quad, count(*) FILTER (WHERE NOT held) AS bare, count(*) FILTER (WHERE held AND hidden) AS internal FROM
+@query("surface_violations", sql("owner quad bare internal", f"""SELECT owner, quad, count(*) FILTER (WHERE NOT held) AS bare, count(*) FILTER (WHERE held AND hidden) AS internal FROM
  (SELECT a.owner, a.quad, held, hidden FROM a JOIN b ON a.quad = b.quad AND a.c = b.c) AS t GROUP BY owner, quad HAVING bare > 0 OR internal > 0""",
  f"{QUADS}, {FORGE}, a AS (SELECT owner, quad, c, {_HELD} AS held FROM ({_FACES.format(p='(plane - side)')}) AS g), b AS (SELECT quad, c, {_HELD} AS hidden FROM ({_FACES.format(p='(plane - 1 + side)')}) AS g)"))
 def _(spark, d):
@@ -757,9 +728,12 @@ for _axis, (_step, _keys) in enumerate((("id % 32", "id // 32"), ("id // 1024",
     )
 
 
-@query("base_slice_extrude", sql("scene material cells depth", "SELECT scene, material, count(*) FILTER (id % 32 = 0) AS cells, max(id % 32) + 1 AS depth FROM voxels GROUP BY scene, material HAVING count(*) FILTER (id % 32 = 0) > 0", _DRAWN))
-def _(spark, d):
-    return baselines.slice_extrusions(_drawn(spark, d), DIMS)
+for _axis, (_first, _place) in enumerate((("id % 32 = 0", "id // 1024 + 32 * (id // 32 % 32)"), ("id < 1024", "id"), ("id // 32 % 32 = 0", "id % 32 + 32 * (id // 1024)"))):
+
+    @query(f"base_slice_extrude_{'xyz'[_axis]}", sql("scene material axis u v depth cells:s", f"""SELECT scene, material, {_axis} AS axis, 32 AS u, 32 AS v, 32 AS depth, string_agg(CAST({_place} AS VARCHAR), ',' ORDER BY {_place}) AS cells
+ FROM voxels WHERE {_first} GROUP BY scene, material""", _DRAWN))
+    def _(spark, d, axis=_axis):
+        return baselines.slice_extrusions(_drawn(spark, d), axis, DIMS).withColumn("cells", F.array_join("cells", ","))
 
 
 @query("base_greedy_boxes", sql("scene covered materials", "SELECT scene, count(*) AS covered, sum(material) AS materials FROM voxels GROUP BY scene", _DRAWN))
@@ -768,15 +742,22 @@ def _(spark, d):
     return found.groupBy("scene").agg(F.sum("n").alias("covered"), F.sum(F.col("n") * F.col("material")).alias("materials"))
 
 
-@query("base_best", sql("scene kind:s units", f"""SELECT scene, CASE WHEN least(n, r, l) = n THEN 'sparse' WHEN least(n, r, l) = r THEN 'runs' ELSE 'layers' END AS kind, least(n, r, l) AS units FROM (SELECT scene, 2 * count(*) AS n FROM (SELECT DISTINCT scene, id FROM terrain) AS a GROUP BY scene) AS x
- JOIN (SELECT scene, 3 * count(*) AS r FROM ({_T_ISLE}) AS b GROUP BY scene) AS y USING (scene) JOIN (SELECT scene, 34 * count(DISTINCT id // 256) AS l FROM terrain GROUP BY scene) AS z USING (scene)""", TERRAIN))
+_U = K.TERRAIN_GRID[0] * K.TERRAIN_GRID[1] * K.TERRAIN_GRID[2]
+_HEAD = f"8 + {vl('zz')}"
+_LOW = f"CAST(floor(log2({_U} // n)) AS BIGINT)"
+
+
+@query("base_best", sql("scene sparse split runs layers best:s bytes", f"""SELECT scene, sparse, split, runs, layers, least(sparse, split, runs, layers) AS bytes,
+ CASE least(sparse, split, runs, layers) WHEN sparse THEN 'sparse' WHEN split THEN 'split' WHEN runs THEN 'runs' ELSE 'layers' END AS best FROM
+ (SELECT scene, {_HEAD} + 1 + {vl('n')} + gaps AS sparse, {_HEAD} + 2 + 1 + {vl('n')} + 1 + (n * {_LOW} + 7) // 8 + (({_U - 1} >> CAST({_LOW} AS INT)) + n + 1 + 7) // 8 AS split,
+ {_HEAD} + {vl('k')} + pieces + 1 AS runs, {_HEAD} + {vl('l')} + heights + 33 * l + 1 AS layers
+ FROM (SELECT scene, CASE WHEN any_value(min_y) >= 0 THEN 2 * any_value(min_y) ELSE -2 * any_value(min_y) - 1 END AS zz, count(*) AS n, sum(1 + {vl('gap')}) AS gaps FROM
+ (SELECT *, coalesce(id - lag(id) OVER (PARTITION BY scene ORDER BY id) - 1, id) AS gap FROM (SELECT DISTINCT scene, id, min_y FROM terrain) AS u) AS g GROUP BY scene) AS a
+ JOIN (SELECT scene, count(*) AS k, sum(1 + {vl('start')} + {vl('length')}) AS pieces FROM ({_T_ISLE}) AS r GROUP BY scene) AS b USING (scene)
+ JOIN (SELECT scene, count(*) AS l, sum({vl('y')}) AS heights FROM (SELECT DISTINCT scene, id // 256 AS y FROM terrain) AS t GROUP BY scene) AS c USING (scene)) AS e""", TERRAIN))
 def _(spark, d):
-    cells = A.terrain(spark, d).select("scene", "id").distinct()
-    w = Window.partitionBy("scene").orderBy("id")
-    flagged = cells.withColumn("fresh", F.coalesce(F.lag("id").over(w) != F.col("id") - 1, F.lit(True))).withColumn("layer", F.coalesce(F.expr("id div 256") != F.floor(F.lag("id").over(w) / 256), F.lit(True)))
-    n = flagged.groupBy("scene").agg((2 * F.count(F.lit(1))).alias("n"), (3 * F.count_if("fresh")).alias("r"), (34 * F.count_if("layer")).alias("l"))
-    best = F.least(*(F.struct(F.col(c).alias("units"), F.lit(i).alias("i"), F.lit(k).alias("kind")) for i, (c, k) in enumerate((("n", "sparse"), ("r", "runs"), ("l", "layers")))))
-    return n.select("scene", best["kind"].alias("kind"), best["units"].alias("units"))
+    """The bytes of the exact programs of a terrain: patches alone, the split code, all runs, all layers."""
+    return baselines.terrain_bytes(A.terrain(spark, d))
 
 
 # ---- search --------------------------------------------------------------------------------
@@ -796,10 +777,20 @@ def _(spark, d):
     return population.elites(A.candidates(spark, d), 4).select("island", "slot", "rank", "bytes")
 
 
-@query("survivors", sql("island slot rank cost", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY island ORDER BY mismatches > 1, cost, mismatches, units, slot) AS rank FROM
- (SELECT *, 6 * (units % 16) + least(3 * mismatches + bytes, 6 * (bytes % 13)) AS cost FROM candidates) AS c) AS r WHERE rank <= 8""", CANDIDATES))
+_RANKED_SCENES = f"""ops AS (SELECT scene, count(*) AS ops FROM cmds WHERE seq < 4 GROUP BY scene),
+ stats AS (SELECT scene, m AS mismatches, sets, paints, runs FROM (SELECT scene, count(*) AS m, count(*) FILTER (kind = 0) AS sets, count(*) FILTER (kind = 2) AS paints FROM patches GROUP BY scene) AS a JOIN (SELECT scene, count(*) AS runs FROM ({RUNS}) AS r GROUP BY scene) AS b USING (scene)),
+ costed AS (SELECT scene % 8 AS island, scene AS slot, scene % 11 > 0 AS valid, ops, coalesce(mismatches, 0) AS mismatches,
+ 6 * ops + scene % 5 + least(3 * coalesce(mismatches, 0) + coalesce(sets, 0) + coalesce(paints, 0), 6 * coalesce(runs, 0), 4096 + 2 * coalesce(paints, 0)) AS cost FROM ops LEFT JOIN stats USING (scene))"""
+
+
+@query("survivors", sql("island slot rank cost", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY island ORDER BY NOT valid, cost, mismatches, ops, slot) AS rank FROM costed) AS r WHERE rank <= 8", f"{PATCHES}, {_RANKED_SCENES}"))
 def _(spark, d):
-    return population.survivors(A.candidates(spark, d), 8).select("island", "slot", "rank", "cost")
+    """Every scene's first commands as a candidate for the whole scene, ranked from the statistics of what differs."""
+    ops = A.commands(spark, d).filter("seq < 4").groupBy("scene").agg(F.count(F.lit(1)).alias("ops"))
+    stats = D.prefilter_stats(pairs(spark, d))
+    found = ops.join(stats, "scene", "left").fillna(0, ["mismatches", "sets", "paints", "runs"])
+    ranked = found.select("*", (F.col("scene") % 8).alias("island"), F.col("scene").alias("slot"), (F.col("scene") % 11 > 0).alias("valid"), (F.col("scene") % 5).alias("mask_bytes"), F.lit(32**3).cast("long").alias("volume"))
+    return population.survivors(ranked, 8).select("island", "slot", "rank", "cost")
 
 
 @query("inject_best", sql("island rank mismatches bytes units encoding:s", f"""SELECT r.island, r.rank, CASE WHEN swap THEN b.mismatches ELSE r.mismatches END AS mismatches, CASE WHEN swap THEN b.bytes ELSE r.bytes END AS bytes, CASE WHEN swap THEN b.units ELSE r.units END AS units,

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cubiform import constants as K
-from cubiform.operators import canonical, geometry, search, state
+from cubiform.operators import canonical, geometry, machine, search, state, variation
+from cubiform.operators import random as numbers
 from cubiform.operators import difference as D
 from cubiform.plans import catalog
 from cubiform.sources import assets, wire
@@ -29,16 +30,15 @@ def test_spark_draws_what_the_interpreter_draws(spark):
     random.seed(21)
     programs = {}
     while len(programs) < 25:
-        p = random_program()
-        p.ops = [op for op in p.ops if "source" not in op and op["op"] != "clear_box"]
-        programs[f"p{len(programs)}"] = p
+        programs[f"p{len(programs)}"] = random_program()
     rows = [assets._flat(n, i, op, p.size) for n, p in programs.items() for i, op in enumerate(p.ops)]
     names = [x.rsplit(" ", 1)[0] for x in assets.COMMAND_SCHEMA.split(", ")]
     df = spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], assets.COMMAND_SCHEMA)
     got = {}
-    for r in state.last_writer(geometry.draw(df, (12, 12, 12))).collect():
+    for r in machine.run(df, (12, 12, 12)).collect():
         got.setdefault(r.scene, {})[r.id] = r.material
     assert got == {n: P.execute(p).voxels for n, p in programs.items()}
+    assert machine.faults(df, ("dim_x", "dim_y", "dim_z")).count() == 0
 
 
 def test_residual_costs_match_bytes(spark):
@@ -99,7 +99,7 @@ def test_flagship_moves_commands_and_not_cells(spark):
 
 def test_chacha_block():
     """The key stream of the zero key, eight rounds: the first words of the published vectors."""
-    rng = search.ChaCha8(bytes(32))
+    rng = numbers.ChaCha8(bytes(32))
     first = b"".join(rng.u32().to_bytes(4, "little") for _ in range(4))
     assert first.hex() == "3e00ef2f895f40d67f5bb8e81f09a5a1"
 
@@ -107,7 +107,7 @@ def test_chacha_block():
 def test_search_is_reproducible_and_resumes(spark, tmp_path):
     target = P.execute(P.read_legacy(bytes.fromhex(BUILDINGS["normal"][0])))
     seed = P.Program(target.size, [{"op": "box", "material": 7, "origin": (0, 0, 0), "size": (8, 2, 8)}, {"op": "box", "material": 7, "origin": (0, 2, 0), "size": (8, 2, 8)}], [7])
-    config = search.SearchConfig(islands=2, population=6, elites=1, tournament=2)
+    config = search.SearchConfig(islands=2, population=6, elites=1, tournament=2, epoch=1)
     one = search.Search(spark, str(tmp_path / "a"), target, config)
     one.start(seed)
     rows = sorted(map(tuple, one.run(3).collect()))
@@ -129,11 +129,11 @@ def test_every_mutation_keeps_programs_valid():
     target = P.execute(P.read_legacy(COTTAGE))
     base = P.read_legacy(COTTAGE)
     fine = 0
-    for k, kind in enumerate(search.MUTATIONS):
+    for k, kind in enumerate(variation.MUTATIONS):
         for s in range(3):
-            made = search.evaluate(search.tidy(search.mutate(base, search.ChaCha8.seeded(s, k, 0), kind)), target)
+            made = variation.evaluate(variation.tidy(variation.mutate(base, numbers.ChaCha8.seeded(s, k, 0), kind)), target)
             fine += made is not None
-    assert fine > len(search.MUTATIONS)
+    assert fine > len(variation.MUTATIONS)
 
 
 def test_stream(spark, tmp_path):

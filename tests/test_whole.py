@@ -9,14 +9,14 @@ from cubiform.plans import adapters, catalog
 SF = "/root/testdata/sf0.001"
 
 
-def test_lww_state_whole_has_every_scene(spark):
+def test_lww_state_has_every_scene(spark):
     want = {}
     for r in adapters.commands(spark, SF).orderBy("scene", "seq").collect():
         for x in range(r.ox, r.ox + r.sx):
             for y in range(r.oy, r.oy + r.sy):
                 for z in range(r.oz, r.oz + r.sz):
                     want[r.scene, x + 32 * (z + 32 * y)] = 0 if r.flag == "R" else r.material
-    got = catalog.QUERIES["lww_state_whole"](spark, SF).collect()
+    got = catalog.QUERIES["lww_state"](spark, SF).collect()
     assert sorted(map(tuple, got)) == sorted((*k, m) for k, m in want.items() if m)
     assert {r.scene % 10 for r in got} == set(range(10))
 
@@ -49,7 +49,7 @@ def test_faults_of_quads_on_all_axes_and_sides(spark):
 
 def test_whole_texts_are_encoded_and_detected(spark):
     texts = {r.doc_id: r.text for r in adapters.read(spark, SF, "documents").collect()}
-    got = {r.doc_id: (r.url, r.bytes) for r in catalog.QUERIES["base64_whole"](spark, SF).collect()}
+    got = {r.doc_id: (r.url, r.bytes) for r in catalog.QUERIES["base64_canonical"](spark, SF).collect()}
     assert got == {i: (base64.urlsafe_b64encode(t.encode()).decode().rstrip("="), len(t.encode())) for i, t in texts.items()}
-    sizes = {r.doc_id: r.bytes for r in catalog.QUERIES["detect_format_whole"](spark, SF).collect()}
+    sizes = {r.doc_id: r.bytes for r in catalog.QUERIES["detect_format"](spark, SF).collect()}
     assert sizes.keys() == texts.keys() and all(sizes[i] >= len(t.encode()) for i, t in texts.items())
