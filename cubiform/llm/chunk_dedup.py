@@ -23,6 +23,8 @@ from .anchors import window_least
 from .store import arrow_map, cut, prepare, ref
 
 U64 = np.uint64
+#: 128 bits that tell one chunk from another.
+DIGEST = np.dtype([("high", np.int64), ("low", np.int64)])
 
 
 @dataclass(frozen=True)
@@ -59,7 +61,7 @@ def gear(data: np.ndarray, offsets: np.ndarray, rules: ChunkRules) -> np.ndarray
 def chunks(data: np.ndarray, offsets: np.ndarray, rules: ChunkRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, digests, where each document's chunks begin): chunks cover all bytes of a slice."""
     if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, DIGEST), np.zeros(len(offsets), np.int64)
     hashes, reach = gear(data, offsets, rules), rules.reach
     wide = np.full(len(data) + 2 * reach, np.iinfo(np.uint64).max, U64)
     wide[reach:-reach] = hashes
@@ -76,7 +78,9 @@ def chunks(data: np.ndarray, offsets: np.ndarray, rules: ChunkRules) -> tuple[np
     cut_at &= np.cumsum(steps)[:-1] > 0
     starts = np.unique(np.concatenate((offsets[:-1][np.diff(offsets) > 0], np.flatnonzero(cut_at) + 1)))
     ends = np.append(starts[1:], len(data))
-    digests = tc.mix(tc.spans(tc.running(data), starts, ends) + (ends - starts).astype(U64))
+    digests = np.empty(len(starts), DIGEST)
+    for lane, name in enumerate(DIGEST.names):
+        digests[name] = tc.mix(tc.spans(tc.running(data, lane), starts, ends, lane) + (ends - starts).astype(U64)).view(np.int64)
     return starts, digests, np.searchsorted(starts, offsets)
 
 
@@ -85,7 +89,7 @@ def _found(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 
 def _digested(docs: DataFrame, kind: str, rules: ChunkRules) -> DataFrame:
-    """(id, row, digest, times): each document's different chunks."""
+    """(id, row, high, low, times): each document's different chunks."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,14 +97,36 @@ def _digested(docs: DataFrame, kind: str, rules: ChunkRules) -> DataFrame:
             for first, end, part, at in tc.slices(data, offsets):
                 _, digests, chunk_at = chunks(part, at, rules)
                 doc = np.repeat(np.arange(first, end), np.diff(chunk_at))
-                order = np.lexsort((digests, doc))
+                order = np.lexsort((digests["low"], digests["high"], doc))
                 doc, digests = doc[order], digests[order]
-                fresh = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (digests[1:] != digests[:-1])))) if len(doc) else np.zeros(0, np.int64)
+                fresh = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | _changes(digests)))) if len(doc) else np.zeros(0, np.int64)
                 times = np.diff(np.append(fresh, len(doc))).astype(np.int64)
                 rows = pa.array(doc[fresh])
-                yield pa.RecordBatch.from_arrays([_found(batch, "id").take(rows), _found(batch, "row").take(rows), pa.array(digests[fresh].view(np.int64)), pa.array(times)], ["id", "row", "digest", "times"])
+                yield pa.RecordBatch.from_arrays([_found(batch, "id").take(rows), _found(batch, "row").take(rows), *(pa.array(digests[n][fresh]) for n in DIGEST.names), pa.array(times)], ["id", "row", "high", "low", "times"])
 
-    return arrow_map(docs.select("id", "row", "text"), read, f"id {kind}, row long, digest long, times long")
+    return arrow_map(docs.select("id", "row", "text"), read, f"id {kind}, row long, high long, low long, times long")
+
+
+def _changes(digests: np.ndarray) -> np.ndarray:
+    """Which digests differ from the one before."""
+    return (digests["high"][1:] != digests["high"][:-1]) | (digests["low"][1:] != digests["low"][:-1])
+
+
+def _numbered(digests: np.ndarray) -> np.ndarray:
+    """Equal numbers for equal digests."""
+    order = np.lexsort((digests["low"], digests["high"]))
+    number = np.empty(len(digests), np.int64)
+    number[order] = np.concatenate(([0], np.cumsum(_changes(digests[order]))))
+    return number
+
+
+def _pairs(column: pa.ListArray) -> np.ndarray:
+    """All digests of a column of arrays."""
+    flat = column.flatten()
+    found = np.empty(len(flat), DIGEST)
+    for name in DIGEST.names:
+        found[name] = pa.compute.struct_field(flat, name).to_numpy(zero_copy_only=False)
+    return found
 
 
 FACTS = "n_bytes long, n_chunks long, n_shared long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
@@ -113,7 +139,7 @@ def _applied(docs: DataFrame, keep: list[str], rules: ChunkRules, texts: bool) -
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tc.utf8(_found(batch, "text"))
-            lists = {c: _found(batch, c).flatten().to_numpy(zero_copy_only=False).view(U64) for c in ("owned", "shared")}
+            lists = {c: _pairs(_found(batch, c)) for c in ("owned", "shared")}
             at_list = {c: np.concatenate(([0], np.cumsum(np.asarray(pa.compute.list_value_length(_found(batch, c)))))) for c in lists}
             rows = []
             for first, end, part, at in tc.slices(data, offsets):
@@ -127,9 +153,11 @@ def _applied(docs: DataFrame, keep: list[str], rules: ChunkRules, texts: bool) -
                     left = None
                     if len(own) or len(other):
                         some, sizes = digests[lo:hi], np.diff(bounds[lo : hi + 1])
-                        elsewhere = np.isin(some, other)
-                        repeat = elsewhere | np.isin(some, own)
-                        _, earliest = np.unique(some, return_index=True)
+                        # Digests by number: those of the document, then what it owns and what it shares.
+                        number = _numbered(np.concatenate((some, own, other)))
+                        elsewhere = np.isin(number[: len(some)], number[len(some) + len(own) :])
+                        repeat = elsewhere | np.isin(number[: len(some)], number[len(some) : len(some) + len(own)])
+                        _, earliest = np.unique(number[: len(some)], return_index=True)
                         # Runs of shared chunks that are too short are left alone, unless they are all of a document.
                         whole = elsewhere.all() or len(earliest) == len(some) and not elsewhere.any()
                         edges = np.flatnonzero(np.diff(np.concatenate(([0], repeat.view(np.int8), [0]))))
@@ -158,7 +186,7 @@ def dedup_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     and, if texts is set, kept_text. n_shared counts bytes of repeats, the copy that stays included;
     n_removed those that go; n_spans the runs that go.
 
-    A null text is empty. Rows that share an id are one document: neither is the other's copy. A null
+    A null text is empty; a very long one is chunked whole. Rows that share an id are one document: neither is the other's copy. A null
     id is the last in order, and all rows with it count as one document. Of clashing input columns the
     outputs win; an empty table gives an empty one.
     """
@@ -169,12 +197,13 @@ def dedup_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(*(ref(c).alias(f"_keep_{c}") for c in keep), F.col(doc_id).alias("id"), F.xxhash64(body).alias("row"), body.alias("text"))
     parts = _digested(rows, kinds[doc_id], rules)
+    digest = list(DIGEST.names)
     # An owner is the least id with the chunk; min() passes over nulls.
-    owners = parts.groupBy("digest").agg(F.min("id").alias("owner"), F.sum("times").alias("n")).filter("n > 1")
-    owners = cut(owners.select("digest", "owner"), "owners")
-    marks = parts.select("id", "row", "digest").join(owners, "digest").groupBy(F.col("id").alias("mark_id"), F.col("row").alias("mark_row")).agg(
-        F.collect_set(F.when(F.expr("id <=> owner"), F.col("digest"))).alias("owned"), F.collect_set(F.when(F.expr("not (id <=> owner)"), F.col("digest"))).alias("shared")
+    owners = parts.groupBy(*digest).agg(F.min("id").alias("owner"), F.sum("times").alias("n")).filter("n > 1")
+    owners = cut(owners.select(*digest, "owner"), "owners")
+    marks = parts.select("id", "row", *digest).join(owners, digest).groupBy(F.col("id").alias("mark_id"), F.col("row").alias("mark_row")).agg(
+        F.collect_set(F.when(F.expr("id <=> owner"), F.struct(*digest))).alias("owned"), F.collect_set(F.when(F.expr("not (id <=> owner)"), F.struct(*digest))).alias("shared")
     )
-    none = F.array().cast("array<long>")
+    none = F.array().cast("array<struct<high:long,low:long>>")
     joined = rows.join(cut(marks, "marks"), F.expr("row = mark_row and id <=> mark_id"), "left")
     return _applied(joined.withColumn("owned", F.coalesce("owned", none)).withColumn("shared", F.coalesce("shared", none)), keep, rules, texts)

@@ -42,19 +42,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 _GOLDEN = U64(0x9E3779B97F4A7C15)
 with np.errstate(over="ignore"):
     BYTE_VALUES = mix((np.arange(256, dtype=U64) + U64(1)) * _GOLDEN)
-_BASE, _BASE_INVERSE = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
+    LANE_VALUES = (BYTE_VALUES, mix(BYTE_VALUES ^ _GOLDEN))
+_BASES = (0x5851F42D4C957F2D, 0xDA942042E4DD58B5)
+_BASE = _BASES[0]
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64, for i up to n."""
-    if "up" not in _powers or len(_powers["up"]) <= n:
-        size = max(n + 1, SLICE_BYTES + 1)
-        for key, base in (("up", _BASE), ("down", _BASE_INVERSE)):
+    if lane not in _powers or len(_powers[lane][0]) <= n:
+        size, made = max(n + 1, SLICE_BYTES + 1), []
+        for base in (_BASES[lane], pow(_BASES[lane], -1, 1 << 64)):
             steps = np.full(size, base, U64)
             steps[0] = 1
-            _powers[key] = np.cumprod(steps, dtype=U64)
-    return _powers["up"], _powers["down"]
+            made.append(np.cumprod(steps, dtype=U64))
+        _powers[lane] = (made[0], made[1])
+    return _powers[lane]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,17 +96,17 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def running(data: np.ndarray) -> np.ndarray:
-    """The polynomial prefix sums from which spans() takes hashes."""
-    up, _ = powers(len(data))
+def running(data: np.ndarray, lane: int = 0) -> np.ndarray:
+    """The polynomial prefix sums from which spans() takes hashes; lane 1 has another base and other values."""
+    up, _ = powers(len(data), lane)
     total = np.zeros(len(data) + 1, U64)
-    np.cumsum(BYTE_VALUES[data] * up[: len(data)], out=total[1:])
+    np.cumsum(LANE_VALUES[lane][data] * up[: len(data)], out=total[1:])
     return total
 
 
-def spans(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def spans(total: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
     """A 64-bit hash of each byte span."""
-    _, down = powers(len(total))
+    _, down = powers(len(total), lane)
     return mix((total[ends] - total[starts]) * down[starts])
 
 
