@@ -13,11 +13,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .store import Shared, arrow_map, output_schema, prepare, shielded, unshielded
+from .store import Shared, arrow_map, cut, output_schema, prepare, shielded, unshielded
 
 #: Maps bytes to what words consist of: A-Z lower-cased, all that is no word byte to a space.
 _FOLD = bytes(int(tc.LOWER[b]) if tc.ALNUM[b] else 0x20 for b in range(256))
@@ -52,7 +52,7 @@ class Automaton:
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
     #: By (state, window length): the items with that window.
-    owners: dict[tuple[int, int], set[str]] = field(default_factory=dict)
+    owners: dict[tuple[int, int], set[str | None]] = field(default_factory=dict)
     #: The window lengths that occur in each state.
     lengths: dict[int, tuple[int, ...]] = field(default_factory=dict)
     pairs: set[int] = field(default_factory=set)
@@ -200,7 +200,7 @@ class Matcher:
                     ranges.append((at, at + 1))
                     for first, end, owners in found.hits([int(ids[at])]):
                         items |= owners
-        return ranges, items
+        return ranges, items - {None}
 
 
 class _Absent:
@@ -216,21 +216,21 @@ class _Absent:
 _ABSENT = _Absent()
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, rules: LeakRules) -> Iterator[list[tuple[str, str]]]:
+def item_blocks(items: DataFrame, item_id: str, text: str, rules: LeakRules) -> Iterator[list[tuple[str | None, str]]]:
     """The items in blocks of bounded size, so that the driver never holds them all.
 
-    The bound counts characters: a word has one at least, and its separator another.
+    The bound counts characters: a word has one at least, and its separator another. Items are dealt
+    to blocks by hash, twice as many blocks as would just hold them.
     """
     bound = 2 * rules.block_words
-    sized = items.select(F.col(item_id).cast("string").alias("item"), F.coalesce(F.col(text), F.lit("")).alias("body")).filter("item is not null")
+    sized = items.select(F.col(item_id).cast("string").alias("item"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     total = sized.agg(F.sum(F.length("body"))).first()[0] or 0
     if total <= bound:
         yield [(r.item, r.body) for r in sized.collect()]
         return
-    order = Window.orderBy("item", "body").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("block", F.floor(F.coalesce(F.sum(F.length("body")).over(order), F.lit(0)) / bound))
-    for block in range(int(total // bound) + 1):
-        yield [(r.item, r.body) for r in placed.filter(F.col("block") == block).collect()]
+    blocks = 2 * -(-total // bound)
+    for block in range(blocks):
+        yield [(r.item, r.body) for r in sized.filter(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == block).collect()]
 
 
 SCHEMA = "n_words long, hit_ranges array<struct<first:int,end:int>>, hit_items array<string>"
@@ -239,9 +239,11 @@ SCHEMA = "n_words long, hit_ranges array<struct<first:int,end:int>>, hit_items a
 def find_leaks(docs: DataFrame, items: DataFrame, doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", rules: LeakRules = LeakRules(), keep: list[str] | None = None) -> DataFrame:
     """The columns in keep (all when None) with n_words, hit_ranges (merged, in words) and hit_items.
 
-    A null or empty text has no words and no hits; items without words or without an id never occur;
-    repeated items count once. Of a clashing input column, the output wins. Empty tables give empty
-    or unhit results. Items beyond one block are streamed block by block in further passes.
+    A null or empty text has no words and no hits; a very long text is streamed whole. Items without
+    words never occur; those without an id hit words but are not listed; repeated items count once. Of
+    a clashing input column, the output wins. Empty tables give empty or unhit results. Items beyond
+    one block are streamed block by block, in passes that are written out between, so that a task
+    holds one automaton.
     """
     spark = prepare(docs.sparkSession)
     made = ["n_words", "hit_ranges", "hit_items"]
@@ -249,11 +251,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_text: str = "text", item_i
     read = list(dict.fromkeys([*keep, doc_text]))
     out = docs.select(*(f"`{c}`" for c in read))
     automata = (one for block in item_blocks(items, item_id, item_text, rules) for one in build(block, rules))
-    first = True
+    done = 0
     for automaton in automata:
-        out = _pass(out, Shared(spark, automaton), read, doc_text, first)
-        first = False
-    if first:
+        out = _pass(cut(out, "leaks") if done else out, Shared(spark, automaton), read, doc_text, not done)
+        done += 1
+    if not done:
         out = _pass(out, Shared(spark, Automaton(rules.window)), read, doc_text, True)
     return out.select(*(f"`{c}`" for c in [*keep, *made]))
 

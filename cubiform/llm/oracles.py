@@ -34,11 +34,11 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(quota //
 
 OP5 = f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_folded('text')}, '{_ALNUM}') AS w FROM documents),
  b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_folded('text')}, '{_ALNUM}') AS w FROM benchmark),
- iw AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT item, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0 AND item IS NOT NULL) AS t),
+ iw AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT item, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0) AS t),
  dw AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM iw) AS ns WHERE len(w) >= n) AS t),
  met AS (SELECT r, i, n, item FROM dw JOIN iw USING (n, win)),
  hit AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM met) AS t GROUP BY r),
- its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM met) AS t GROUP BY r)
+ its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM met WHERE item IS NOT NULL) AS t GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)"""
 
 OP6 = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_folded('text')}, '{_WORD}') AS w FROM documents),
