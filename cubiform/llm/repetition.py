@@ -144,6 +144,10 @@ def quality(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: QualityRules = QualityRules()) -> DataFrame:
-    """docs without the rows that the rules reject; all columns as they were."""
+    """docs without the rows that the rules reject; all columns as they were.
+
+    A null, empty or blank text has too few words and goes; very long texts are measured whole;
+    repeated rows are judged one by one; an empty table gives an empty one.
+    """
     own, back = shielded(docs, [x.split()[0] for x in SCHEMA.split(", ")])
     return unshielded(quality(own, text, rules=rules).filter("kept"), docs.columns, back)

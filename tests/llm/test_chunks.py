@@ -10,7 +10,7 @@ from cubiform.llm import chunk_dedup
 def _chunks(texts: list[bytes]) -> list[list[tuple[int, int]]]:
     offsets = np.cumsum([0, *map(len, texts)])
     starts, digests, at = chunk_dedup.chunks(np.frombuffer(b"".join(texts), np.uint8), offsets, chunk_dedup.ChunkRules())
-    return [[(int(s - offsets[i]), int(d)) for s, d in zip(starts[at[i] : at[i + 1]], digests[at[i] : at[i + 1]])] for i in range(len(texts))]
+    return [[(int(s - offsets[i]), d.item()) for s, d in zip(starts[at[i] : at[i + 1]], digests[at[i] : at[i + 1]])] for i in range(len(texts))]
 
 
 def test_chunks_are_the_same_behind_any_text():

@@ -115,3 +115,74 @@ def test_pipeline_against_plain_stages(spark):
         assert stage and list(after[0].__fields__) == docs.columns
         before = now
     assert corpus_pipeline.run(spark, cases.SF).count() == len(now)
+
+
+def hard_pages(spark, folder, clash=()):
+    """Hard rows that the quality rules reject, and some like them that pass: long, null in other columns, repeated, tied."""
+    import random
+
+    random.seed(4)
+    words = ["".join(random.choices("abcdefghijklmnop", k=random.randint(2, 9))) for _ in range(20_000)]
+    prose = lambda a, n: " ".join(words[(a + 7 * i) % 20_000] for i in range(n))
+    long = " ".join(random.choices(words, k=60_000))
+    rows = cases.hard_rows() + [
+        (50, prose(0, 120), None, None, None), (51, prose(0, 120), "en", "a", 1), (51, prose(0, 120), "en", "a", 1), (None, prose(3, 90), "en", "a", 1), (52, long, "en", "b", 1), (53, f"{long} end", "en", "b", 1),
+        (54, f"{prose(5, 80)} mail jo@example.org or +1 555 010 0199", "de", "c", None), (55, f"{prose(9, 60)} the lazy dog while the band plays a slow tune about rivers {prose(11, 60)}", "en", "a", 1), (56, f"{prose(2, 40)} é ü \u2028 \0 {prose(4, 40)}", "fr", "b", 1),
+    ]
+    df = spark.createDataFrame(rows, cases.DDL)
+    for name in clash:
+        df = df.withColumn(name, F.lit("own"))
+    df.write.parquet(f"{folder}/documents.parquet")
+    items(spark).write.parquet(f"{folder}/benchmark.parquet")
+    return df
+
+
+def test_pipeline_on_hard_rows(spark, tmp_path):
+    clash = ["kept", "n_words", "node", "label", "hit_ranges", "_pii_text", "size", "taken", "with.dot"]
+    hard_pages(spark, tmp_path, clash)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0) for r in got) == [0, 50, 52, 54, 55, 56]
+    size = {r.doc_id: r.size for r in got}
+    assert size[52] == 60_000 and size[55] == 120 and size[54] == 84 and all(0 <= r.taken <= 3 * r.size for r in got)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [*(x.split()[0] for x in cases.DDL.split(", ")), *clash]
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    cases.empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    items(spark).limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_very_long_texts(spark):
+    """A text of three megabytes is read whole by every operator."""
+    import random
+
+    random.seed(9)
+    words = ["".join(random.choices("abcdefghijklmnop", k=6)) for _ in range(50_000)]
+    body = " ".join(random.choices(words, k=430_000))
+    end = " password: hunter22 client_id=jo7 mail jo@example.org"
+    df = spark.createDataFrame([(1, body + end, "en", "a", 1), (2, body[:-7] + end, "en", "a", 1), (3, "short", "en", "a", 1)], cases.DDL)
+    assert {r.doc_id: len(r.pii_spans) for r in pii.find_pii(df).collect()} == {1: 1, 2: 1, 3: 0}
+    assert {r.doc_id: [s.kind for s in r.secret_spans] for r in secrets.scan(df).collect()}[1] == ["assign", "client"]
+    assert {r.doc_id: r.component_id for r in minhash.near_groups(df).collect()} == {1: 1, 2: 1, 3: 3}
+    removed = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(df, keep=["doc_id"]).collect()}
+    assert removed[1][1] == len(body) - 6 and removed[2][0] - removed[2][1] == len(end) - 1 and removed[3] == (5, 0)
+    shared = {r.doc_id: r.n_removed for r in chunk_dedup.dedup_chunks(df, keep=["doc_id"]).collect()}
+    assert shared[1] == 0 and shared[2] > 0.999 * (len(body) - 7)
+    assert {r.doc_id: r.n_words for r in repetition.quality(df, keep=["doc_id"]).collect()}[1] == 430_000 + 5
+    assert {r.doc_id: r.n_words for r in decontam.find_leaks(df, items(spark), keep=["doc_id"]).collect()}[3] == 1
+    assert mixing.mix_sources(df).filter("doc_id = 1").first().size == 430_000 + 5
+
+
+def test_many_matches_in_one_text(spark):
+    """Places are right beyond one block of a running total."""
+    import re
+
+    text = " ".join(f"user{i}@example.org" if i % 3 else f"+1 555 01{i:05d}" for i in range(1000))
+    row = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(s.start, s.stop) for s in row.pii_spans if s.kind == "email"] == [(m.start(), m.end()) for m in re.finditer(r"user\d+@example\.org", text)]
+    clean = pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    assert clean == " ".join("[EMAIL]" if i % 3 else "[PHONE]" for i in range(1000))
