@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Sainte-Lague apportionment, in DataFrame operations only.
 
-Equal-token blocks go to sources by highest quotients, then within each source to its shards;
-inside a shard the documents stand in a seeded order, and its quota of blocks is read off that
+Equal-token blocks go to sources by highest quotients, then within each source to groups of shards
+and within those to the shards, by the same rule; inside a shard the documents stand in a seeded order, and its quota of blocks is read off that
 order round after round, so a word is taken again only once all of the shard has been taken.
 """
 
@@ -27,8 +27,12 @@ class Mix:
     seed: int = 17
     #: Words that a shard should hold.
     shard_tokens: int = 20_000
+    #: Shards of a source come in groups of so many, and a source's blocks go to groups first.
+    group_shards: int = 1024
     #: Hexadecimal digits of a document's seeded hash that place it in a shard.
     cell_digits: int = 7
+    #: A source's facts meet its documents in so many pieces, so that no task gets a hot source whole.
+    pieces: int = 256
 
 
 def targets(sizes: DataFrame, mix: Mix) -> DataFrame:
@@ -101,22 +105,22 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     )
     # Words are counted once; what follows reads a few numbers a document.
     rows = cut(rows.withColumn("_cell", F.conv(F.substring("_order", 1, mix.cell_digits), 16, 10).cast("long")), "sizes")
-    cells = rows.groupBy("absent", "name", "_cell").agg(F.sum("_size").alias("_words"))
-    per_source = targets(cells.groupBy("absent", "name").agg(F.sum("_words").alias("source_size")), mix)
+    per_source = targets(rows.groupBy("absent", "name").agg(F.sum("_size").alias("source_size")), mix)
     dealt = apportion(per_source, [], ["place"], "target", F.round(F.sum("target").over(Window.partitionBy()) / mix.block_tokens))
-    every = 16**mix.cell_digits
     dealt = dealt.withColumn("_shards", F.greatest(F.ceil(F.col("source_size") / mix.shard_tokens), F.lit(1)).cast("long"))
-    shard = F.expr(f"(_cell * _shards) div {every}L")
-    facts = dealt.select("absent", "name", "source_size", "target", "seats", "_shards")
-    shards = cells.join(facts, ["absent", "name"]).groupBy("absent", "name", shard.alias("_shard")).agg(
-        F.sum("_words").alias("_shard_words"), F.first("seats").alias("_source_seats")
-    )
-    quotas = apportion(shards, ["absent", "name"], ["_shard"], "_shard_words", "_source_seats")
+    facts = cut(dealt.select("absent", "name", "source_size", "target", "seats", "_shards"), "sources")
+    spread = facts.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(mix.pieces - 1).cast("long"))))
+    placed = rows.withColumn("_piece", F.col("_cell") % mix.pieces).join(spread, ["absent", "name", "_piece"])
+    placed = placed.withColumn("_shard", F.expr(f"(_cell * _shards) div {16**mix.cell_digits}L"))
+    shards = placed.groupBy("absent", "name", "_shard").agg(F.sum("_size").alias("_shard_words"), F.first("seats").alias("_source_seats"))
+    shards = cut(shards.withColumn("_group", F.expr(f"_shard div {mix.group_shards}")), "shards")
+    source, group = ["absent", "name"], ["absent", "name", "_group"]
+    groups = shards.groupBy(*group).agg(F.sum("_shard_words").alias("_group_words"), F.first("_source_seats").alias("_source_seats"))
+    groups = apportion(groups, source, ["_group"], "_group_words", "_source_seats").select(*group, F.col("seats").alias("_group_seats"))
+    quotas = apportion(shards.drop("_source_seats").join(groups, group), group, ["_shard"], "_shard_words", "_group_seats")
     quota = F.least(F.col("seats") * mix.block_tokens, mix.max_repeat * F.col("_shard_words"))
-    quotas = quotas.select("absent", "name", "_shard", "_shard_words", quota.alias("_quota"))
-    # By source and cell, no task gets more than a sliver of a hot source.
-    dealt_cells = cells.drop("_words").join(facts.drop("seats"), ["absent", "name"]).withColumn("_shard", shard).join(quotas, ["absent", "name", "_shard"])
-    placed = rows.join(dealt_cells.drop("_shards"), ["absent", "name", "_cell"])
+    quotas = cut(quotas.select(*source, "_shard", "_shard_words", quota.alias("_quota")), "quotas")
+    placed = placed.drop("seats", "_shards", "_piece").join(quotas, [*source, "_shard"])
     in_order = Window.partitionBy("absent", "name", "_shard").orderBy("_order", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("_end", F.sum("_size").over(in_order))
     rounds = F.expr("_quota div greatest(_shard_words, 1)")

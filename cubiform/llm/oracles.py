@@ -26,8 +26,10 @@ def op3(mix: Mix = Mix()) -> str:
  seats AS (SELECT place, count(*) AS seats FROM (SELECT place, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, place, k) AS r FROM (SELECT place, target, unnest(range(1, CAST(target / {mix.block_tokens} + 50 AS BIGINT))) AS k FROM s6) AS a) AS b WHERE r <= (SELECT round(sum(target) / {mix.block_tokens}) FROM s6) GROUP BY place),
  s7 AS (SELECT s6.*, coalesce(seats, 0) AS seats, CAST(greatest(ceil(source_size / {float(mix.shard_tokens)}), 1) AS BIGINT) AS shards FROM s6 LEFT JOIN seats USING (place)),
  e AS (SELECT d.*, s7.* EXCLUDE (source), CAST('0x' || substr(o, 1, {mix.cell_digits}) AS BIGINT) * shards // {16**mix.cell_digits} AS shard FROM d JOIN s7 ON d.source IS NOT DISTINCT FROM s7.source),
- h AS (SELECT place, shard, any_value(seats) AS n, sum(size) AS sw FROM e GROUP BY place, shard),
- q AS (SELECT place, shard, count(*) AS seats FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY CAST(sw AS DOUBLE) / (2 * k - 1) DESC, shard, k) AS r FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM h WHERE sw > 0) AS a) AS b WHERE r <= n GROUP BY place, shard),
+ hg AS (SELECT place, shard // {mix.group_shards} AS grp, any_value(seats) AS n, sum(size) AS gw FROM e GROUP BY ALL),
+ qg AS (SELECT place, grp, count(*) AS seats FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY CAST(gw AS DOUBLE) / (2 * k - 1) DESC, grp, k) AS r FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM hg WHERE gw > 0) AS a) AS b WHERE r <= n GROUP BY place, grp),
+ h AS (SELECT s.place, s.shard, s.sw, coalesce(qg.seats, 0) AS n FROM (SELECT place, shard, sum(size) AS sw FROM e GROUP BY place, shard) AS s LEFT JOIN qg ON qg.place = s.place AND qg.grp = s.shard // {mix.group_shards}),
+ q AS (SELECT place, shard, count(*) AS seats FROM (SELECT *, row_number() OVER (PARTITION BY place, shard // {mix.group_shards} ORDER BY CAST(sw AS DOUBLE) / (2 * k - 1) DESC, shard, k) AS r FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM h WHERE sw > 0) AS a) AS b WHERE r <= n GROUP BY place, shard),
  f AS (SELECT e.*, h.sw, least(coalesce(q.seats, 0) * {mix.block_tokens}, {mix.max_repeat} * h.sw) AS quota, sum(size) OVER (PARTITION BY e.place, e.shard ORDER BY o, size ROWS UNBOUNDED PRECEDING) AS till FROM e JOIN h USING (place, shard) LEFT JOIN q USING (place, shard))
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(quota // greatest(sw, 1) * size + greatest(least(till, quota - quota // greatest(sw, 1) * sw) - (till - size), 0) AS BIGINT) AS taken FROM f"""
 
