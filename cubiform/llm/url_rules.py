@@ -119,8 +119,8 @@ def _baskets(listed: DataFrame, least: float) -> DataFrame:
     always comes together does not multiply combinations.
     """
     often = listed.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("where")).filter(F.col("n") >= least)
-    named = often.join(often.groupBy("n", "where").agg(F.min("t").alias("item")), ["n", "where"]).filter("t = item").select("t")
-    return listed.join(named, "t").groupBy("row", "bad").agg(F.collect_set("t").alias("items"))
+    named = often.groupBy("n", "where").agg(F.min("t").alias("t")).select("t")
+    return listed.join(named.hint("merge"), "t").groupBy("row", "bad").agg(F.collect_set("t").alias("items"))
 
 
 def mine(pages: DataFrame, labels: DataFrame, bad: Column, url: str = "url", page_id: str = "page_id", label_id: str = "doc_id", rules: UrlRules = UrlRules()) -> DataFrame:
@@ -147,7 +147,8 @@ def mine(pages: DataFrame, labels: DataFrame, bad: Column, url: str = "url", pag
     sets = cut(model.freqItemsets, "itemsets")
     with_bad = sets.filter(F.array_contains("items", _BAD) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", _BAD)).alias("tokens"), F.col("freq").alias("both"))
     alone = sets.filter(~F.array_contains("items", _BAD)).select(F.array_sort("items").alias("tokens"), "freq")
-    found = with_bad.join(alone, "tokens").select("tokens", (F.col("both") / F.col("freq")).alias("confidence"))
+    # Written tables are small as files and large in memory: no side is sent around whole.
+    found = with_bad.join(alone.hint("merge"), "tokens").select("tokens", (F.col("both") / F.col("freq")).alias("confidence"))
     return pruned(cut(found, "candidates"), rules.min_confidence, rules.min_gain)
 
 
@@ -166,8 +167,8 @@ def pruned(found: DataFrame, min_confidence: float, gain: float) -> DataFrame:
             level = level.withColumn("inner", F.lit(0.0))
         else:
             parts = level.select("tokens", F.explode(F.transform("tokens", lambda t: F.array_remove("tokens", t))).alias("part"))
-            reached = parts.join(best, "part", "left").groupBy("tokens").agg(F.coalesce(F.max("reached"), F.lit(0.0)).alias("inner"))
-            level = level.join(reached, "tokens")
+            reached = parts.join(best.hint("merge"), "part", "left").groupBy("tokens").agg(F.coalesce(F.max("reached"), F.lit(0.0)).alias("inner"))
+            level = level.join(reached.hint("merge"), "tokens")
         level = cut(level, "level")
         own = F.when(F.col("confidence") >= min_confidence, F.col("confidence")).otherwise(0.0)
         best = level.select(F.col("tokens").alias("part"), F.greatest(own, "inner").alias("reached"))
