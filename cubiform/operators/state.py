@@ -10,8 +10,13 @@ from .geometry import SUBS
 
 
 def last_writer(writes: DataFrame) -> DataFrame:
-    """(scene, id, material): the last write of each cell; material 0 erases."""
-    return writes.groupBy("scene", "id").agg(F.max_by("material", "ord").alias("material")).filter("material <> 0")
+    """(scene, id, material): the last write of each cell; material 0 erases.
+
+    Order and material, of 16 bits, make one number, so that an aggregation keeps one long a cell.
+    """
+    packed = F.shiftleft(F.col("ord").cast("long"), 16) + F.col("material")
+    last = writes.select("scene", "id", packed.alias("_last")).groupBy("scene", "id").agg(F.max("_last").alias("_last"))
+    return last.select("scene", "id", F.col("_last").bitwiseAND(0xFFFF).alias("material")).filter("material <> 0")
 
 
 def as_of(writes: DataFrame, order: Column) -> DataFrame:
@@ -78,6 +83,22 @@ def repeat_region(cells: DataFrame, dims: tuple[int, int, int]) -> DataFrame:
     return _copied(each, dims, *at, sub=F.col("copy"))
 
 
+def cut_boxes(cells: DataFrame, boxes: DataFrame, grid: tuple[int, int, int]) -> DataFrame:
+    """Cells, (component, cell), without those inside a box, (component, ox, oy, oz, sx, sy, sz), of their component."""
+    rows = cells.select("component", "cell").distinct()
+    x, y, z = split_id("cell", grid[0], grid[1])
+    inside = rows.join(boxes.select("component", "ox", "oy", "oz", "sx", "sy", "sz"), "component").filter(_inside(x, y, z)).select("component", "cell")
+    return rows.join(inside.distinct(), ["component", "cell"], "left_anti")
+
+
+def symmetry(cells: DataFrame, axis: int, grid: tuple[int, int, int]) -> DataFrame:
+    """Cells, (component, cell), and their images on the other side of the middle across an axis."""
+    step = (1, grid[0], grid[0] * grid[1])[axis]
+    at = split_id("cell", grid[0], grid[1])[axis]
+    image = F.col("cell") + step * (grid[axis] - 1 - 2 * at)
+    return cells.select("component", F.explode(F.array(F.col("cell").cast("long"), image.cast("long"))).alias("cell")).distinct()
+
+
 TRANSFORMS = {"translate": translate, "rotate_y": rotate_y, "mirror": mirror, "repeat_region": repeat_region}
 
 

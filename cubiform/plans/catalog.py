@@ -342,19 +342,22 @@ def _(spark, d):
     return hit.groupBy("scene", F.expr(f"ord div {geometry.SUBS}").alias("seq")).agg(F.count(F.lit(1)).alias("removed"))
 
 
-@query("cut_box", sql("component cells", "SELECT component, count(*) AS cells FROM (SELECT DISTINCT component, cell FROM forge WHERE NOT (cell % 14 < 4 AND cell // 14 % 10 < 3)) AS t GROUP BY component", FORGE))
-def _(spark, d):
-    x, y, _z = S.split_id("cell", 14, 10)
-    cut = A.forge(spark, d).filter((x < 4) & (y < 3)).select("component", "cell").distinct()
-    left = A.forge(spark, d).select("component", "cell").distinct().join(cut, ["component", "cell"], "left_anti")
-    return left.groupBy("component").agg(F.count(F.lit(1)).alias("cells"))
+_HOLES = "holes AS (SELECT DISTINCT component, component % 10 AS ox, component % 7 AS oy, component % 11 AS oz, 1 + component % 4 AS sx, 1 + component % 3 AS sy, 1 + component % 3 AS sz FROM forge)"
 
 
-@query("symmetry", sql("component cells id_sum", "SELECT component, count(*) AS cells, sum(cell) AS id_sum FROM (SELECT component, cell FROM forge UNION SELECT component, cell - cell % 14 + 13 - cell % 14 FROM forge) AS t GROUP BY component", FORGE))
+@query("cut_box", sql("component cells id_sum", """SELECT component, count(*) AS cells, sum(cell) AS id_sum FROM (SELECT DISTINCT f.component, cell FROM forge AS f JOIN holes USING (component)
+ WHERE NOT (cell % 14 >= ox AND cell % 14 < ox + sx AND cell // 14 % 10 >= oy AND cell // 14 % 10 < oy + sy AND cell // 140 >= oz AND cell // 140 < oz + sz)) AS t GROUP BY component""", f"{FORGE}, {_HOLES}"))
 def _(spark, d):
-    rows = A.forge(spark, d).select("component", "cell")
-    both = rows.select("component", F.explode(F.array("cell", F.col("cell") + 13 - 2 * (F.col("cell") % 14))).alias("cell")).distinct()
-    return both.groupBy("component").agg(F.count(F.lit(1)).alias("cells"), F.sum("cell").alias("id_sum"))
+    cells, c = A.forge(spark, d), "component"
+    holes = cells.select(c).distinct().selectExpr(c, f"{c} % 10 AS ox", f"{c} % 7 AS oy", f"{c} % 11 AS oz", f"1 + {c} % 4 AS sx", f"1 + {c} % 3 AS sy", f"1 + {c} % 3 AS sz")
+    return state.cut_boxes(cells, holes, K.FORGE_GRID).groupBy(c).agg(F.count(F.lit(1)).alias("cells"), F.sum("cell").alias("id_sum"))
+
+
+for _axis, _image in enumerate(("cell + 13 - 2 * (cell % 14)", "cell + 14 * (9 - 2 * (cell // 14 % 10))", "cell + 140 * (13 - 2 * (cell // 140))")):
+
+    @query(f"symmetry_{'xyz'[_axis]}", sql("component cells id_sum", f"SELECT component, count(*) AS cells, sum(cell) AS id_sum FROM (SELECT component, cell FROM forge UNION SELECT component, {_image} FROM forge) AS t GROUP BY component", FORGE))
+    def _(spark, d, axis=_axis):
+        return state.symmetry(A.forge(spark, d), axis, K.FORGE_GRID).groupBy("component").agg(F.count(F.lit(1)).alias("cells"), F.sum("cell").alias("id_sum"))
 
 
 #: One transform a scene, after all commands: arguments from its first command.
@@ -704,9 +707,10 @@ for _least in (1, 2, 3, 4):
     query(f"base_runs_{_least}", sql("scene start length", f"SELECT * FROM ({_T_ISLE}) AS r WHERE length >= {_least}", TERRAIN))(lambda spark, d, n=_least: baselines.terrain_runs(A.terrain(spark, d), n))
 
 
-@query("base_layers_threshold", sql("scene y bits", "SELECT scene, id // 256 AS y, count(DISTINCT id) AS bits FROM terrain GROUP BY 1, 2 HAVING count(DISTINCT id) >= 2", TERRAIN))
-def _(spark, d):
-    return baselines.terrain_layers(A.terrain(spark, d), 2)
+for _least in (1, 2, 32, 64, 128):
+    query(f"base_layers_{_least}", sql("scene y bits", f"SELECT scene, id // 256 AS y, count(DISTINCT id) AS bits FROM terrain GROUP BY 1, 2 HAVING count(DISTINCT id) >= {_least}", TERRAIN))(
+        lambda spark, d, n=_least: baselines.terrain_layers(A.terrain(spark, d), n)
+    )
 
 
 _XYZ = ", ".join(f"{f}({e}) AS {c}{i}" for c, e in (("x", "id % {a}"), ("y", "id // ({a} * {b})"), ("z", "id // {a} % {b}")) for i, f in enumerate(("min", "max")))

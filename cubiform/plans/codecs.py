@@ -17,13 +17,14 @@ import cubiform
 
 
 from .. import constants as K
-from ..operators import canonical, compress, geometry, machine, state
+from ..operators import canonical, compress, corpus, geometry, machine, state
 from ..operators.random import ChaCha8
 from ..operators.search import SearchConfig, evolve, founders
 from ..operators.variation import Building, Compact, Terrain, cross, evaluate, mutate, tidy
 from ..sources import assets, envelopes, wire
 from ..sources.assets import listed_op
 from ..sources import candidates as C
+from ..sources import forged as G
 from ..sources import programs as P
 from . import adapters as A
 from . import catalog
@@ -266,6 +267,74 @@ def _(spark, d):
     return _mapped(_gathered(A.forge(spark, d), "component", ["cell"]), one, "component long, cells long, root string")
 
 
+# ---- assets as files would hold them -------------------------------------------------------
+
+
+def _imported(name: str, oracle: str, count: str, made: Callable[[SparkSession, str], DataFrame]) -> None:
+    """Assets, (asset, content), through the reader that goes by what a payload's beginning says."""
+
+    @query(name, oracle)
+    def _(spark, d):
+        found = assets.decoded(made(spark, d))
+        return found.filter("error_kind is null").select(F.regexp_replace("asset", ".*/", "").cast("long").alias("scene"), F.col("facts").alias(count), "root")
+
+
+def _buildings(f: Callable[[P.Program], bytes]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: _per_scene(spark, d, lambda p: (f(p),), "scene long, content binary").select(F.concat(F.lit("building/"), "scene").alias("asset"), "content")
+
+
+_imported("import_accounts", _TERRAIN, "deletions", lambda spark, d: _accounts(spark, d))
+_imported("import_legacy", _ROOT, "voxels", _buildings(P.write_legacy))
+_imported("import_legacy_text", _ROOT, "voxels", _buildings(lambda p: f" {K.LEGACY_TEXT}{wire.to_base64url(P.write_legacy(p))}\n".encode()))
+_imported("import_compact", _ROOT, "voxels", _buildings(P.encode))
+_imported("import_compact_text", _ROOT, "voxels", _buildings(lambda p: f"{K.COMPACT_TEXT}{wire.to_base64url(P.encode(p))}".encode()))
+_imported("import_wrapped", _ROOT, "voxels", _buildings(lambda p: P.wrap("building", K.LEGACY, P.write_legacy(p))))
+_imported("import_candidates", _ROOT, "voxels", _buildings(C.write_building))
+
+#: An item's head, and a component's: mass, volume, attributes, kind; resource, colour, sizes, offset, no grip.
+_ITEM = G.Forged(10, 7, bytes(range(12)), [])
+_PART = G.Component(2, 0x123, (8, 9, 10), (0, -1, 2), None, [])
+_ITEM_HEX = _ITEM.head().hex() + "01" + G.component_head(_PART).hex()
+_ITEMS = f"""SELECT component, n AS cells, {catalog.root_sql(K.SEMANTIC_DOMAIN, "'03'", f"'{_ITEM_HEX}'", catalog.vh('n'), 'body', "'00'")} AS root FROM (SELECT component, count(*) AS n, string_agg({catalog.vh('gap')}, '' ORDER BY cell) AS body FROM
+ (SELECT *, coalesce(cell - lag(cell) OVER (PARTITION BY component ORDER BY cell) - 1, cell) AS gap FROM (SELECT DISTINCT component, cell FROM forge) AS u) AS g GROUP BY component) AS t"""
+
+
+@query("import_items", sql("component cells root:s", _ITEMS, catalog.FORGE))
+def _(spark, d):
+    """Forged items of one component, as the smallest candidate has them, read back by their beginning."""
+
+    def one(_: int, rows: list[dict]) -> tuple:
+        cells = sorted({r["cell"] for r in rows})
+        item = G.Forged(_ITEM.mass, _ITEM.volume, _ITEM.attributes, [G.Component(_PART.resource, _PART.colour, _PART.dims, _PART.offset, None, cells)])
+        return len(cells), compress.forged(item)
+
+    made = _mapped(_gathered(A.forge(spark, d), "component", ["cell"]), one, "component long, cells long, content binary")
+    found = assets.decoded(made.select(F.concat(F.lit("forge/"), "component").alias("asset"), "content"))
+    read = found.filter("error_kind is null").select(F.regexp_replace("asset", ".*/", "").cast("long").alias("component"), "root")
+    return made.select("component", "cells").join(read, "component")
+
+
+@query("benchmark", sql("scene source_bytes machine_bytes:i saved_bytes root:s", f"""SELECT r.scene, 16 + 3 * CAST(2 ** ceil(log2(deletions)) AS BIGINT) AS source_bytes, least(bytes, 16 + 3 * CAST(2 ** ceil(log2(deletions)) AS BIGINT)) AS machine_bytes,
+ 16 + 3 * CAST(2 ** ceil(log2(deletions)) AS BIGINT) - least(bytes, 16 + 3 * CAST(2 ** ceil(log2(deletions)) AS BIGINT)) AS saved_bytes, root FROM ({_TERRAIN}) AS r JOIN ({catalog.ORACLES['base_best']}) AS b ON r.scene = b.scene"""))
+def _(spark, d):
+    """A corpus of accounts, measured; exact programs alone can be told in SQL, so others count as the best of those."""
+    best = catalog.QUERIES["base_best"](spark, d).select("scene", F.col("bytes").alias("exact"))
+    rows = corpus.benchmark(_accounts(spark, d).select(F.concat(F.lit("terrain/"), "asset").alias("asset"), "content")).filter("error_kind is null")
+    rows = rows.withColumn("scene", F.regexp_replace("asset", ".*/", "").cast("long")).join(best, "scene").filter("machine_bytes <= exact")
+    size = F.least("exact", "source_bytes")
+    return rows.select("scene", "source_bytes", size.alias("machine_bytes"), (F.col("source_bytes") - size).alias("saved_bytes"), "root")
+
+
+@query("program_faults", sql("scene kind:s code:s", """SELECT scene, CASE WHEN min(seq) FILTER (outside) <= coalesce(min(seq) FILTER (used > 150), 1000) THEN 'OutOfBounds' ELSE 'ResourceLimit' END AS kind,
+ CASE WHEN min(seq) FILTER (outside) <= coalesce(min(seq) FILTER (used > 150), 1000) THEN 'box' ELSE 'writes' END AS code
+ FROM (SELECT scene, seq, outside, sum(n) OVER (PARTITION BY scene ORDER BY seq) AS used FROM (SELECT scene, seq, sum(w * h * d) AS n, bool_or(x + w > 20 OR y + h > 20 OR z + d > 20) AS outside FROM boxes GROUP BY ALL) AS t) AS u
+ GROUP BY scene HAVING bool_or(outside) OR max(used) > 150""", catalog.BOXES))
+def _(spark, d):
+    """The first error of each program, in a small scene and under a small limit of writes."""
+    commands = A.commands(spark, d).withColumn("op", F.lit("repeat_box"))
+    return machine.faults(commands, (20, 20, 20), {"max_writes": 150})
+
+
 def _varied(f: Callable[[P.Program, ChaCha8], P.Program]):
     def one(program: P.Program) -> tuple:
         found = evaluate(tidy(f(program, ChaCha8.seeded(44, len(program.ops), 1))), P.execute(program))
