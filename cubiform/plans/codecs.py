@@ -97,34 +97,45 @@ _rooted("compress_building", lambda p: C.run_building(C.read_building(compress.b
 
 # ---- programs of all commands --------------------------------------------------------------
 
-#: What the lines of a scene do in turn; the second moves a part of the scene, the fourth turns one.
+#: What the lines of a scene do in turn: all that the compact, the legacy and the machine's format can draw.
 _TURNS = ("box", "run", "wall", "repeat_box", "fence", "gable_fill_x", "gable_outline_z", "gable_trim_x", "tree", "extrude")
-_SEVERAL = len(_TURNS)
+_LEGACY_TURNS = ("box", "repeat_box", "tree", "fence", *(f"gable_{s}_{o}" for s in K.GABLE_STYLES for o in "xz"))
+_MACHINE_TURNS = ("box", "run", "wall", "extrude", "repeat_box")
 _PART = "id % 32 < 24 AND id // 1024 < 24 AND id // 32 % 32 < 24"
 
 
-def _mixed_sql() -> str:
-    lines = [f"cmds{i} AS (SELECT * FROM cmds WHERE seq NOT IN (2, 4) AND seq % {_SEVERAL} = {i})" for i in range(_SEVERAL)]
-    drawn = " UNION ALL ".join(f"SELECT * FROM ({catalog.BOX_SQL[op].replace('FROM cmds', f'FROM cmds{i}')}) AS b{i}" for i, op in enumerate(_TURNS))
+def _lines_sql(turns: tuple[str, ...], moves: bool) -> str:
+    """Voxels of scenes whose lines draw in turn; with moves, the second moves a part of the scene and the fourth turns one."""
+    several = len(turns)
+    left = "seq NOT IN (2, 4) AND " if moves else ""
+    axis = {"fence": " REPLACE (axis % 2 AS axis)"}
+    lines = [f"cmds{i} AS (SELECT *{axis.get(op, '')} FROM cmds WHERE {left}(seq + scene) % {several} = {i})" for i, op in enumerate(turns)]
+    drawn = " UNION ALL ".join(f"SELECT * FROM ({catalog.BOX_SQL[op].replace('FROM cmds', f'FROM cmds{i}')}) AS b{i}" for i, op in enumerate(turns))
     at = lambda n: n * geometry.SUBS
     seen = lambda n, rows: f"SELECT scene, id, arg_max(material, ord) AS material FROM ({rows}) AS w WHERE ord < {at(n)} GROUP BY scene, id"
-    moved = f"moved AS (SELECT p.scene, {at(2)} AS ord, p.id + dx + 1 + 32 * (dz + 2 + 32 * dy) AS id, p.material FROM ({seen(2, 'SELECT * FROM writes')}) AS p JOIN cmds ON cmds.scene = p.scene AND cmds.seq = 2 WHERE {_PART})"
-    turned = f"turned AS (SELECT p.scene, {at(4)} AS ord, 8 + 23 - id // 32 % 32 + 32 * (8 + id % 32 + 32 * (8 + id // 1024)) AS id, p.material FROM ({seen(4, 'SELECT * FROM writes UNION ALL SELECT * FROM moved')}) AS p JOIN cmds ON cmds.scene = p.scene AND cmds.seq = 4 WHERE {_PART})"
-    every = "SELECT * FROM writes UNION ALL SELECT * FROM moved UNION ALL SELECT * FROM turned"
-    return ", ".join([catalog.CMDS, *lines, catalog.writes_sql(drawn), moved, turned, f"voxels AS (SELECT scene, id, arg_max(material, ord) AS material FROM ({every}) AS w GROUP BY scene, id)"])
+    every, more = "SELECT * FROM writes", []
+    if moves:
+        more.append(f"moved AS (SELECT p.scene, {at(2)} AS ord, p.id + dx + 1 + 32 * (dz + 2 + 32 * dy) AS id, p.material FROM ({seen(2, 'SELECT * FROM writes')}) AS p JOIN cmds ON cmds.scene = p.scene AND cmds.seq = 2 WHERE {_PART})")
+        more.append(f"turned AS (SELECT p.scene, {at(4)} AS ord, 8 + 23 - id // 32 % 32 + 32 * (8 + id % 32 + 32 * (8 + id // 1024)) AS id, p.material FROM ({seen(4, 'SELECT * FROM writes UNION ALL SELECT * FROM moved')}) AS p JOIN cmds ON cmds.scene = p.scene AND cmds.seq = 4 WHERE {_PART})")
+        every += " UNION ALL SELECT * FROM moved UNION ALL SELECT * FROM turned"
+    return ", ".join([catalog.CMDS, *lines, catalog.writes_sql(drawn), *more, f"voxels AS (SELECT scene, id, arg_max(material, ord) AS material FROM ({every}) AS w GROUP BY scene, id)"])
 
 
-_MIXED = _mixed_sql()
-_MIXED_ROOT = sql("scene voxels root:s", catalog._BUILDING, _MIXED)
+def _lines_root(turns: tuple[str, ...], moves: bool) -> str:
+    return sql("scene voxels root:s", catalog._BUILDING, _lines_sql(turns, moves))
 
 
-def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scenes whose lines draw in all ways, and move and turn parts of what is there."""
+_MIXED_ROOT = _lines_root(_TURNS, True)
+
+
+def mixed(spark: SparkSession, sf_dir: str, turns: tuple[str, ...] = _TURNS, moves: bool = True) -> DataFrame:
+    """The same scenes as commands."""
     lines = A.commands(spark, sf_dir)
-    turn = F.element_at(F.array(*map(F.lit, _TURNS)), (F.col("seq") % _SEVERAL + 1).cast("int"))
-    op = F.when(F.col("seq") == 2, "translate").when(F.col("seq") == 4, "rotate_y").otherwise(turn)
+    op = F.element_at(F.array(*map(F.lit, turns)), ((F.col("seq") + F.col("scene")) % len(turns) + 1).cast("int"))
+    if moves:
+        op = F.when(F.col("seq") == 2, "translate").when(F.col("seq") == 4, "rotate_y").otherwise(op)
     lines = lines.withColumn("op", op).withColumn("mask", F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.call_function("getbit", F.col("bits"), i).cast("long")))
-    copies, tree, translate = F.col("seq").isin(2, 4), F.col("op") == "tree", F.col("op") == "translate"
+    copies, tree, translate = F.col("op").isin("translate", "rotate_y"), F.col("op") == "tree", F.col("op") == "translate"
     changed = {c: F.when(copies, 0).when(tree & F.lit(c != "oy"), F.col(c) + 6).otherwise(F.col(c)) for c in ("ox", "oy", "oz")}
     changed |= {c: F.when(copies, 24).otherwise(F.col(c)) for c in ("sx", "sy", "sz")} | {c: F.when(copies, 8) for c in ("px", "py", "pz")}
     changed |= {"dx": F.when(translate, F.col("dx") + 1).otherwise(F.col("dx")), "dz": F.when(translate, F.col("dz") + 2).otherwise(F.col("dz")), "turns": F.when(copies, 1)}
@@ -139,8 +150,8 @@ def _(spark, d):
     return canonical.building_roots(machine.run(mixed(spark, d), DIMS), DIMS)
 
 
-def _listed(spark: SparkSession, sf_dir: str, f: Callable[[P.Program], tuple], schema: str) -> DataFrame:
-    rows = mixed(spark, sf_dir)
+def _listed(spark: SparkSession, sf_dir: str, f: Callable[[P.Program], tuple], schema: str, turns: tuple[str, ...] = _TURNS, moves: bool = True) -> DataFrame:
+    rows = mixed(spark, sf_dir, turns, moves)
     names = [c for c in rows.columns if c not in ("scene", "seq", "flag", "bits")]
 
     def one(_: int, found: list[dict]) -> tuple:
@@ -150,15 +161,21 @@ def _listed(spark: SparkSession, sf_dir: str, f: Callable[[P.Program], tuple], s
     return _mapped(_gathered(rows, "scene", ["seq", *names]), one, schema)
 
 
-@query("roundtrip_mixed", _MIXED_ROOT)
-def _(spark, d):
-    """All kinds of commands through the compact bytes."""
+def _rooted_lines(name: str, turns: tuple[str, ...], moves: bool, there_and_back: Callable[[P.Program], P.Scene]) -> None:
+    """All kinds of commands of a format through its bytes."""
+
+    @query(name, _lines_root(turns, moves))
+    def _(spark, d):
+        def one(program: P.Program) -> tuple:
+            scene = there_and_back(program)
+            return len(scene.voxels), scene.root()
+
+        return _listed(spark, d, one, "scene long, voxels long, root string", turns, moves)
 
-    def one(program: P.Program) -> tuple:
-        scene = P.execute(P.decode(P.encode(program)))
-        return len(scene.voxels), scene.root()
 
-    return _listed(spark, d, one, "scene long, voxels long, root string")
+_rooted_lines("roundtrip_mixed", _TURNS, True, lambda p: P.execute(P.decode(P.encode(p))))
+_rooted_lines("roundtrip_legacy_mixed", _LEGACY_TURNS, False, lambda p: P.execute(P.read_legacy(P.write_legacy(p))))
+_rooted_lines("roundtrip_candidate_mixed", _MACHINE_TURNS, False, lambda p: C.run_building(C.read_building(C.write_building(p))))
 
 
 @query("decode_mixed", _MIXED_ROOT)
@@ -219,6 +236,15 @@ def _(spark, d):
     return canonical.terrain_roots(cells)
 
 
+@query("account_faults", sql("scene kind:s", "SELECT scene, CASE scene % 4 WHEN 1 THEN 'InvalidEncoding' WHEN 2 THEN 'UnsupportedVersion' ELSE 'Truncated' END AS kind FROM (SELECT DISTINCT scene FROM terrain) AS t WHERE scene % 4 > 0", catalog.TERRAIN))
+def _(spark, d):
+    """Accounts with a wrong beginning, version or end: rows, in DataFrame functions."""
+    good, kind = _accounts(spark, d), F.col("asset").cast("long") % 4
+    body = lambda at: F.substring("content", at, 1 << 20)
+    bad = F.when(kind == 1, F.concat(F.lit(b"X"), body(2))).when(kind == 2, F.concat(F.substring("content", 1, 4), F.lit(b"\2"), body(6))).when(kind == 3, F.concat("content", F.lit(b"\0"))).otherwise(F.col("content"))
+    return assets.account_faults(good.select("asset", bad.alias("content"))).select(F.col("asset").cast("long").alias("scene"), "kind")
+
+
 def _terrain(name: str, there_and_back: Callable[[int, set[int]], tuple[int, set[int]]]) -> None:
     @query(name, _TERRAIN)
     def _(spark, d):

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import cubiform
@@ -149,13 +149,38 @@ def audited(assets: DataFrame) -> DataFrame:
     return _per_asset(assets, schema, made, "asset")
 
 
+def _byte(at) -> Column:
+    """The byte at a place of content, counted from 0."""
+    return F.conv(F.hex(F.substring(F.col("content"), (F.lit(at) if isinstance(at, int) else at).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+
+
+def _word(at: int) -> Column:
+    return _byte(at) + 256 * _byte(at + 1)
+
+
+def _records() -> Column:
+    """0 .. count - 1 of an account's header."""
+    return F.when(_word(6) > 0, F.sequence(F.lit(0).cast("long"), _word(6) - 1)).otherwise(F.array().cast("array<long>"))
+
+
+def account_fault() -> Column:
+    """What is wrong with a terrain account, (kind, code), or null: its beginning, version, size or a record."""
+    wrong = lambda kind, code: F.struct(F.lit(kind).alias("kind"), F.lit(code).alias("code"))
+    size, capacity = F.octet_length("content"), _word(8)
+    found = F.when(F.col("content").isNull() | (size < 16) | (F.substring("content", 1, 4) != F.lit(K.ACCOUNT_MAGIC.encode())), wrong("InvalidEncoding", "magic"))
+    found = found.when(_byte(4) != 1, wrong("UnsupportedVersion", "account")).when((capacity > 2048) | (_word(6) > capacity) | (size != 16 + 3 * capacity), wrong("Truncated", "account"))
+    return found.when(F.exists(_records(), lambda i: _byte(18 + 3 * i) > 1), wrong("NonCanonical", "record"))
+
+
+def account_faults(assets: DataFrame) -> DataFrame:
+    """(asset, kind, code) of accounts that can't be read."""
+    return assets.select("asset", account_fault().alias("fault")).filter("fault is not null").select("asset", "fault.kind", "fault.code")
+
+
 def accounts(assets: DataFrame) -> DataFrame:
-    """(asset, min_y, id) of terrain accounts, in DataFrame functions alone: no byte leaves the JVM."""
-    word = lambda at, n: sum((F.conv(F.hex(F.substring("content", at + k + 1, 1)), 16, 10).cast("long") * (1 << 8 * k) for k in range(n)), F.lit(0))
-    good = assets.filter(F.substring("content", 1, 4) == F.lit(K.ACCOUNT_MAGIC.encode())).select("asset", "content", word(6, 2).alias("n"), word(8, 2).alias("capacity"), word(10, 2).alias("y"))
-    good = good.filter("n <= capacity and capacity <= 2048 and n > 0 and octet_length(content) = 16 + 3 * capacity")
-    each = good.select("asset", F.when(F.col("y") > 32767, F.col("y") - 65536).otherwise(F.col("y")).alias("min_y"), "content", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    at = lambda k: F.conv(F.hex(F.substring(F.col("content"), (F.lit(17 + k) + 3 * F.col("i")).cast("int"), F.lit(1))), 16, 10).cast("long")
-    v = at(0) + at(1) * 256 + at(2) * 65536
+    """(asset, min_y, id) of terrain accounts, in DataFrame functions alone: no byte leaves the JVM. See account_faults for the others."""
+    good = assets.filter(account_fault().isNull())
+    each = good.select("asset", F.when(_word(10) > 32767, _word(10) - 65536).otherwise(_word(10)).alias("min_y"), "content", F.explode(_records()).alias("i"))
+    v = sum((_byte(16 + k + 3 * F.col("i")) * (1 << 8 * k) for k in range(3)), F.lit(0))
     x, z, y = v % 16, F.floor(v / 16) % 16, F.floor(v / 256)
     return each.select("asset", "min_y", (x + 16 * (z + 16 * y)).alias("id")).distinct()

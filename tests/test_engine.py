@@ -11,6 +11,7 @@ from cubiform.operators import random as numbers
 from cubiform.operators import difference as D
 from cubiform.plans import catalog
 from cubiform.sources import assets, wire
+from cubiform.sources import candidates as C
 from cubiform.sources import programs as P
 from cubiform.streaming import ingest
 from tests.test_formats import BUILDINGS, FORGED, TERRAIN, random_program
@@ -75,6 +76,15 @@ def test_accounts_without_python(spark):
     roots = {r.scene: r.root for r in canonical.terrain_roots(df.select(F.col("asset").alias("scene"), "min_y", "id")).collect()}
     assert roots == {n: v[2] for n, v in TERRAIN.items()}
     assert "Python" not in df._jdf.queryExecution().toString()
+    row = bytearray(TERRAIN["row"][0])
+    bad = {"magic": b"XCBK" + row[4:], "version": row[:4] + b"\2" + row[5:], "short": row[:-1], "record": row[:18] + b"\2" + row[19:], "none": None, "count": row[:6] + b"\xff" + row[7:], "tiny": b"NC"}
+    df = spark.createDataFrame([(n, v and bytes(v)) for n, v in bad.items()] + [("fine", bytes(row))], "asset string, content binary")
+    want = {}
+    for n, v in bad.items():
+        with pytest.raises(wire.FormatError) as e:
+            C.read_account(bytes(v or b""))
+        want[n] = (e.value.kind, e.value.code)
+    assert {r.asset: (r.kind, r.code) for r in assets.account_faults(df).collect()} == want and {r.asset for r in assets.accounts(df).collect()} == {"fine"}
 
 
 @pytest.mark.parametrize("partitions", [1, 13])
