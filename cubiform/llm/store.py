@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
 import pickle
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -61,6 +63,7 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if context.applicationId not in _local:
         _local[context.applicationId] = tempfile.mkdtemp(prefix="cubiform-")
+        atexit.register(shutil.rmtree, _local[context.applicationId], ignore_errors=True)
     return _local[context.applicationId]
 
 
