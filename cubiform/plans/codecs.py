@@ -340,7 +340,7 @@ def _(spark, d):
     return made.select("component", "cells").join(read, "component")
 
 
-@query("benchmark", sql("scene source_bytes machine_bytes:i saved_bytes root:s", f"""SELECT r.scene, 16 + 3 * CAST(2 ** ceil(log2(deletions)) AS BIGINT) AS source_bytes, least(bytes, 16 + 3 * CAST(2 ** ceil(log2(deletions)) AS BIGINT)) AS machine_bytes,
+@query("corpus_benchmark", sql("scene source_bytes machine_bytes:i saved_bytes root:s", f"""SELECT r.scene, 16 + 3 * CAST(2 ** ceil(log2(deletions)) AS BIGINT) AS source_bytes, least(bytes, 16 + 3 * CAST(2 ** ceil(log2(deletions)) AS BIGINT)) AS machine_bytes,
  16 + 3 * CAST(2 ** ceil(log2(deletions)) AS BIGINT) - least(bytes, 16 + 3 * CAST(2 ** ceil(log2(deletions)) AS BIGINT)) AS saved_bytes, root FROM ({_TERRAIN}) AS r JOIN ({catalog.ORACLES['base_best']}) AS b ON r.scene = b.scene"""))
 def _(spark, d):
     """A corpus of accounts, measured; exact programs alone can be told in SQL, so others count as the best of those."""
