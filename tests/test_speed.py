@@ -3,7 +3,7 @@
 import random
 
 from cubiform import constants as K
-from cubiform.operators import compress
+from cubiform.operators import compress, corpus
 from cubiform.plans import adapters, codecs
 from cubiform.sources import candidates as C
 from cubiform.sources import wire
@@ -60,3 +60,15 @@ def test_masks_and_sizes():
 def test_scenes_are_worked_on_in_several_tasks(spark):
     rows = adapters.terrain(spark, "/root/testdata/sf0.001")
     assert codecs._gathered(rows, "scene", ["id", "min_y"]).rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
+
+
+def _account(ids):
+    records = b"".join((i % 16 | (i // 16 % 16) << 4 | (i // 256) << 8).to_bytes(3, "little") for i in sorted(ids))
+    return K.ACCOUNT_MAGIC.encode() + bytes([1, 0, len(ids), 0, 64, 0, 0, 0, 0, 0, 0, 0]) + records.ljust(192, b"\0")
+
+
+def test_a_measured_account_writes_no_box_around_far_cells(monkeypatch):
+    patches, write = [], C.write_terrain
+    monkeypatch.setattr(C, "write_terrain", lambda p: patches.append(len(p.patches)) or write(p))
+    found = corpus.measured("terrain/1", _account({0, 700, 131071}))
+    assert (found["facts"], max(patches)) == (3, 3) and found["machine_bytes"] < found["source_bytes"]
