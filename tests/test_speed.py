@@ -6,7 +6,7 @@ from cubiform import constants as K
 from cubiform.operators import compress, corpus
 from cubiform.plans import adapters, codecs
 from cubiform.sources import candidates as C
-from cubiform.sources import wire
+from cubiform.sources import envelopes, wire
 
 
 def _terrain_tries(cells):
@@ -72,3 +72,17 @@ def test_a_measured_account_writes_no_box_around_far_cells(monkeypatch):
     monkeypatch.setattr(C, "write_terrain", lambda p: patches.append(len(p.patches)) or write(p))
     found = corpus.measured("terrain/1", _account({0, 700, 131071}))
     assert (found["facts"], max(patches)) == (3, 3) and found["machine_bytes"] < found["source_bytes"]
+
+
+def test_verified_results_come_from_several_tasks_without_large_boxes(spark, monkeypatch):
+    assert codecs._accounts(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
+    patches, write = [], C.write_terrain
+    monkeypatch.setattr(C, "write_terrain", lambda p: patches.append(len(p.patches)) or write(p))
+    data = _account({0, 700, 131071})
+    task = envelopes.read_task(envelopes.Task("terrain_delta", "1", K.ACCOUNT, data).to_bytes())
+    for gone in (0, 1, 2):
+        min_y, cells = C.read_account(data)
+        sent = envelopes.Result(task.task_id, compress.terrain(min_y, set(sorted(cells)[gone:])), "terrain_delta")
+        report = envelopes.verify(task, envelopes.read_result(sent.to_bytes(), "terrain_delta"))
+        assert (report["exact"], report["mismatches"]) == (not gone, gone)
+    assert max(patches) <= 3
