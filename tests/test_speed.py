@@ -2,12 +2,16 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from cubiform import constants as K
 from cubiform.operators import compress, corpus, machine
 from cubiform.plans import adapters, codecs
 from cubiform.sources import candidates as C
 from cubiform.sources import envelopes, forged, wire
 from cubiform.sources import programs as P
+from cubiform.sources.assets import dicts
 
 
 def _terrain_tries(cells):
@@ -115,3 +119,15 @@ def test_copies_read_the_cells_there_are_not_the_whole_region(monkeypatch):
 def test_whole_programs_run_in_several_tasks(spark):
     drawn = machine._interpreted(machine._parts(codecs.mixed(spark, "/root/testdata/sf0.001"))[1], (32, 32, 32), None)
     assert drawn.rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
+
+
+def test_many_integers_in_one_go():
+    values = [0, 1, 127, 128, 16383, 16384, 1 << 21, (1 << 32) - 1, 5]
+    assert wire.varints(np.array(values)) == b"".join(map(wire.varint, values)) and wire.varints(np.array([], np.int64)) == b""
+    scene = P.Scene((64, 64, 64), {200000: 300, 3: 1, 5: 65535})
+    assert scene.canonical() == b"".join(map(wire.varint, (64, 64, 64, 3, 3, 1, 1, 65535, 199994, 300)))
+
+
+def test_rows_of_scenes_come_by_column():
+    lists = pa.array([[{"a": 1, "m": [0, 1]}, {"a": None, "m": None}], [], [{"a": 3, "m": []}]], pa.list_(pa.struct([("a", pa.int64()), ("m", pa.list_(pa.int64()))])))
+    assert dicts(lists) == lists.to_pylist() and dicts(lists[1:]) == lists[1:].to_pylist()
