@@ -131,3 +131,18 @@ def test_many_integers_in_one_go():
 def test_rows_of_scenes_come_by_column():
     lists = pa.array([[{"a": 1, "m": [0, 1]}, {"a": None, "m": None}], [], [{"a": 3, "m": []}]], pa.list_(pa.struct([("a", pa.int64()), ("m", pa.list_(pa.int64()))])))
     assert dicts(lists) == lists.to_pylist() and dicts(lists[1:]) == lists[1:].to_pylist()
+
+
+def test_building_covers_that_cannot_win_are_not_run(monkeypatch):
+    ran, run = [], C.run_building
+    monkeypatch.setattr(C, "run_building", lambda p, *limits: ran.append([op["op"] for op in p.ops]) or run(p, *limits))
+    ops = [{"op": "box", "material": m, "origin": o, "size": (3, 4, 5)} for m, o in ((2, (0, 0, 0)), (3, (20, 20, 20)))]
+    scene = P.execute(P.Program((32, 32, 32), ops))
+    data = compress.building(scene)
+    assert ran == [["box", "box"]] * 2 or ran == [["box", "box"]]
+    assert run(C.read_building(data)).voxels == scene.voxels
+    # An extrusion, a run and a literal where they are the smallest.
+    mask = [int(i % 3 == 0) for i in range(64)]
+    for op, kind in (({"op": "extrude", "axis": 1, "u": 8, "v": 8, "depth": 8, "mask": mask}, "extrude"), ({"op": "run", "axis": 2, "length": 8}, "box")):
+        scene = P.execute(P.Program((8, 8, 8), [op | {"material": 4, "origin": (0, 0, 0)}]))
+        assert {o["op"] for o in C.read_building(compress.building(scene)).ops} <= {kind, "run"}
