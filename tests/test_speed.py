@@ -160,3 +160,8 @@ def test_cells_in_numpy_are_those_of_the_plan(spark, monkeypatch):
     with pytest.raises(Exception, match="leaves the scene"):
         geometry.voxels(commands, (8, 16, 16), "box").collect()
     assert geometry.voxels(commands.limit(0), (16, 16, 16), "box").collect() == []
+
+
+def test_decoded_programs_of_all_commands_are_written_in_several_tasks(spark):
+    made = codecs._listed(spark, "/root/testdata/sf0.001", lambda p: (P.encode(p),), "scene long, content binary")
+    assert made.rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
