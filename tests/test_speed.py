@@ -165,3 +165,14 @@ def test_cells_in_numpy_are_those_of_the_plan(spark, monkeypatch):
 def test_decoded_programs_of_all_commands_are_written_in_several_tasks(spark):
     made = codecs._listed(spark, "/root/testdata/sf0.001", lambda p: (P.encode(p),), "scene long, content binary")
     assert made.rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
+
+
+def test_boxes_are_not_grown_where_cells_stand_alone(monkeypatch):
+    grown, grow = [], compress.grown_boxes
+    monkeypatch.setattr(compress, "grown_boxes", lambda *a: grown.append(len(a[0])) or grow(*a))
+    rng = random.Random(5)
+    far, box = {rng.randrange(131072) for _ in range(70)}, {x + 16 * (z + 16 * y) for x in range(2, 9) for y in range(40, 44) for z in range(3, 11)}
+    made = [compress.terrain(-5, cells) for cells in (far, box, box | far)]
+    assert len(box) in grown and len(far) not in grown
+    for cells, data in zip((far, box, box | far), made):
+        assert C.run_terrain(C.read_terrain(data))[0] == cells
