@@ -1,6 +1,7 @@
 """What made queries too slow for larger tables: work that grows faster than scenes, and Python work in one task."""
 
 import random
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -176,3 +177,19 @@ def test_boxes_are_not_grown_where_cells_stand_alone(monkeypatch):
     assert len(box) in grown and len(far) not in grown
     for cells, data in zip((far, box, box | far), made):
         assert C.run_terrain(C.read_terrain(data))[0] == cells
+
+
+def test_an_account_is_read_without_a_step_for_each_cell():
+    counts = []
+    for ids in ([0, 15, 16, 255, 256, 700, 131071], range(0, 6000, 100)):
+        steps: list[str] = []
+        data = _account(ids)
+        assert C.read_account(data) == (0, set(ids))
+        sys.setprofile(lambda frame, event, arg: steps.append(event))  # noqa: B023
+        C.read_account(data)
+        sys.setprofile(None)
+        counts.append(len(steps))
+    assert counts[0] == counts[1]
+    assert C.terrain_canonical(-5, {200000, 3, 5}) == b"".join(map(wire.varint, (9, 3, 3, 1, 199994)))
+    with pytest.raises(wire.FormatError, match="record"):
+        C.read_account(data[:16] + b"\0\0\2" + data[19:])
