@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import textcore as tc
 from .components import components
-from .store import arrow_map, cut, prepare, ref
+from .store import arrow_map, discard, freed, prepare, without
 
 U64 = np.uint64
 
@@ -147,8 +147,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b")
 
 
-def _across(placed: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame:
-    """Pairs (a, b) that share a bucket, belong to different components and may still be similar.
+def _across(placed: DataFrame, sets: DataFrame, tried: DataFrame, rules: NearRules) -> DataFrame:
+    """Pairs (a, b), not tried yet, that share a bucket, belong to different components and may still be similar.
 
     placed: (band, node, n, label) of the buckets that hold several components. A shingle is rare
     when few of these classes have it. Pairs with a rare shingle in common come from the shingle. All
@@ -159,18 +159,21 @@ def _across(placed: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame:
     member = placed.groupBy("node", "n", "label").agg(F.array_sort(F.collect_list("band")).alias("within"))  # at most one for each band
     listed = sets.join(member.select("node", "n", "label"), "node").select("node", "n", "label", F.explode("keys").alias("key"))
     rare = listed.groupBy("key").agg(F.count(F.lit(1)).alias("owners")).filter(F.col("owners") <= rules.rare)
-    rare = cut(listed.join(rare, "key"), "rare")
+    rare = freed(listed.join(rare, "key"), "rare")
     counts = rare.groupBy("node").agg(F.count(F.lit(1)).alias("rare"))
     shared = rare.filter("owners > 1").groupBy("key").agg(F.collect_list(F.struct("node", "n", "label")).alias("of"))
     pair = shared.select(F.explode("of").alias("x"), "of").select("x", F.explode("of").alias("y")).filter("x.label < y.label")
     met = pair.filter(f"100 * least(x.n, y.n) >= {rules.percent} * greatest(x.n, y.n)").select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     known = member.join(counts, "node", "left").select("node", "n", "label", "within", F.coalesce("rare", F.lit(0)).alias("rare"))
-    known = cut(known, "member")
+    known = freed(known, "member")
     left = placed.select("band", "node").join(known, "node")
     right = left.select("band", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "label", "within", "rare")))
     bound = f"label < label2 and 100 * least(n - rare, n2 - rare2) >= {rules.percent} * greatest(n + rare2, n2 + rare) and array_min(array_intersect(within, within2)) = band"
     rest = left.join(right.withColumnRenamed("band", "band2"), F.expr(f"band = band2 and {bound}"))
-    return met.union(rest.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))).distinct()
+    found = met.union(rest.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))).distinct()
+    found = freed(found.join(tried, ["a", "b"], "left_anti"), "pairs")
+    discard(rare, known)
+    return found
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: NearRules = NearRules()) -> DataFrame:
@@ -182,13 +185,17 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rul
     Extra columns are ignored; an empty table gives an empty one.
     """
     prepare(docs.sparkSession)
-    base = cut(sketched(docs, doc_id, text, rules), "sketch")
-    classes = base.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"))
-    # One row of each class carries its bands: that of its least id.
-    carried = base.filter("node is not null").select("node", "doc_id", "bands").join(classes.select("node", "first_id", "n"), "node").filter("doc_id <=> first_id").dropDuplicates(["node"])
+    base = freed(sketched(docs, doc_id, text, rules), "sketch")
+    # A class has one shingle set, so all its rows have the same bands.
+    carried = base.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    carried = freed(carried, "carried")
+    rows = freed(base.drop("bands"), "rows")
+    discard(base)
     bands = carried.select("node", "n", F.explode("bands").alias("band"))
     crowded = bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    bands = cut(bands.join(crowded, "band"), "bands")
+    bands = freed(bands.join(crowded, "band"), "bands")
+    classes = freed(carried.drop("bands"), "classes")
+    discard(carried)
     central = bands.groupBy("node", "n").agg(F.sum("members").alias("weight"))
     # The hub of a bucket is the class that meets most others over all bands.
     ranked = bands.join(central, ["node", "n"])
@@ -197,26 +204,31 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rul
         F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"), F.least("n", "hub.n").alias("low"), F.greatest("n", "hub.n").alias("high")
     )
     similar = F.expr(f"100 * low >= {rules.percent} * high")
-    tried = cut(tried.filter(similar).select("a", "b").distinct(), "pairs")
+    tried = freed(tried.filter(similar).select("a", "b").distinct(), "pairs")
     paired = tried.select(F.col("a").alias("node")).union(tried.select("b")).union(bands.filter("members > 2").select("node")).distinct()
-    needed = cut(paired.join(classes, "node"), "needed")
+    needed = freed(paired.join(classes, "node"), "needed")
     sets = _sets(docs, needed, doc_id, text, rules)
     # One row a class; only rows that repeat id and text, or have no id, give more.
-    again = base.filter("node is not null").groupBy("node", "doc_id").count().filter("count > 1 or doc_id is null")
-    sets = cut(sets if again.isEmpty() else sets.dropDuplicates(["node"]), "sets")
-    links = cut(_verified(tried, sets, rules.percent), "links")
-    labels = cut(components(links), "labels")
+    again = rows.filter("node is not null").groupBy("node", "doc_id").count().filter("count > 1 or doc_id is null")
+    sets = freed(sets if again.isEmpty() else sets.dropDuplicates(["node"]), "sets")
+    links = freed(_verified(tried, sets, rules.percent), "links")
+    labels = freed(components(links), "labels")
     placed = bands.filter("members > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     apart = placed.groupBy("band").agg(F.min("label").alias("one"), F.max("label").alias("other")).filter("one <> other").select("band")
-    placed = cut(placed.join(apart, "band").select("band", "node", "n", "label"), "apart")
-    across = cut(_across(placed, sets, rules).join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = cut(_verified(across, sets, rules.percent), "links")
+    placed = freed(placed.join(apart, "band").select("band", "node", "n", "label"), "apart")
+    discard(bands, needed)
+    across = _across(placed, sets, tried, rules)
+    discard(placed, tried)
+    more = freed(_verified(across, sets, rules.percent), "links")
+    discard(sets, across)
     if not more.isEmpty():
-        labels = cut(components(links.union(more)), "labels")
+        discard(labels)
+        labels = freed(components(links.union(more)), "labels")
+    discard(links, more)
     member = classes.join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
     # Written out, so that the join on the label of a hot component can be split.
-    least = cut(member.groupBy("label").agg(F.min("first_id").alias("component_id")), "least")
-    found = base.drop("bands").join(member.join(least, "label").select("node", "component_id"), "node", "left")
+    least = freed(member.groupBy("label").agg(F.min("first_id").alias("component_id")), "least")
+    found = rows.join(member.join(least, "label").select("node", "component_id"), "node", "left")
     found = found.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return found.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
 
@@ -227,4 +239,4 @@ def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules
     Rows that share an id are one document: they stay or go together. Rows with a null id stay.
     """
     gone = near_groups(docs, doc_id, text, rules).filter("not kept and doc_id is not null").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti").select(*map(ref, docs.columns))
+    return without(docs, doc_id, freed(gone, "gone"))
